@@ -81,9 +81,9 @@ FROM u""")
 def q_clean_sparse_cols(spark, sf_dir):
     kept = drop_null_target(drop_duplicates(replace_inf(_dirty(spark, sf_dir))), "target")
     st = column_stats(kept, distinct=False, moments=False)
-    n = st.where(F.col("metric") == "rows").select(F.col("value").alias("n_rows"))
-    nn = st.where(F.col("metric") == "n_null").crossJoin(n)   # n is one row by construction
-    ratio = F.col("value") / F.col("n_rows")
+    n = st.where(F.col("metric") == "rows").collect()[0]["value"]   # one scalar
+    nn = st.where(F.col("metric") == "n_null")
+    ratio = F.col("value") / F.lit(n)
     return nn.select("column_name", r6(ratio).alias("missing_ratio"),
                      ((F.col("column_name") != "target") & (ratio > 0.95)).alias("dropped"))
 
