@@ -126,17 +126,26 @@ def q_clean_mode(spark, sf_dir):
     return modes.join(filled.select("column_name", F.col("value").alias("n_filled")), "column_name")
 
 
-def _clean_data_sql():
+def _clean_cols(rounded: bool = True):
     cols = []
     for c in ["event_id", "user_id", "event_type", "value", "const_col", "value_x2", "target"]:
         if c in NUMERIC:
-            cols.append(f"round(coalesce(least(greatest(CAST({c} AS DOUBLE), (SELECT lo FROM b WHERE column_name='{c}')), "
-                        f"(SELECT hi FROM b WHERE column_name='{c}')), (SELECT med FROM b WHERE column_name='{c}')), 6) AS {c}")
+            e = (f"coalesce(least(greatest(CAST({c} AS DOUBLE), (SELECT lo FROM b WHERE column_name='{c}')), "
+                 f"(SELECT hi FROM b WHERE column_name='{c}')), (SELECT med FROM b WHERE column_name='{c}'))")
+            cols.append(f"round({e}, 6) AS {c}" if rounded else f"{e} AS {c}")
         elif c == "event_type":
             cols.append("coalesce(event_type, (SELECT mode FROM m)) AS event_type")
         else:
             cols.append(c)
-    return f"WITH {BOUNDS_CTE} SELECT {', '.join(cols)} FROM kept"
+    return ", ".join(cols)
+
+
+def _clean_data_sql():
+    return f"WITH {BOUNDS_CTE} SELECT {_clean_cols()} FROM kept"
+
+
+CLEANED_CTE = BOUNDS_CTE + f""",
+cleaned AS (SELECT {_clean_cols(rounded=False)} FROM kept)"""
 
 
 @query("clean_data", sql=_clean_data_sql())
