@@ -38,7 +38,7 @@ class Options:
     rank_buckets: int = 4096           # hash buckets for distributed exact per-group ranks
     broadcast_max_rows: int = 1_000_000  # upper bound for a side we hint as broadcast
     model_preset: str = "fast"         # "fast" (few trees, shallow) or "reference" (300 trees...)
-    cv_parallelism: int = 2
+    cv_parallelism: int = 8
 
     def replace(self, **kw) -> "Options":
         return _replace(self, **kw)

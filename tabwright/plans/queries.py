@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_eda, q_features, q_metrics, q_profile  # noqa: F401  (registration side effects)
+from . import q_clean, q_eda, q_features, q_metrics, q_models, q_profile  # noqa: F401  (registration side effects)
 from .registry import ORACLES, QUERIES
 
 
