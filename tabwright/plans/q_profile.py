@@ -156,15 +156,19 @@ def q_scan_profile(spark, sf_dir):
     return P.lake_stats(lake(spark, sf_dir))
 
 
-@query("fingerprint", sql=" UNION ALL ".join(
-    f"""SELECT {_q(t)} AS table_name, n_rows, content_hash,
+def fingerprint_sql(t: str) -> str:
+    """DuckDB form of ``hashing.fingerprint`` for one table (one row)."""
+    cols = ", ".join(
+        f"CAST(CAST(floor({c} * 1000000) AS BIGINT) AS VARCHAR)" if f == "float" else
+        (f"CAST(epoch_us({c}) AS VARCHAR)" if f == "temporal" else f"CAST({c} AS VARCHAR)")
+        for c, f in SCHEMAS[t])
+    return f"""SELECT {_q(t)} AS table_name, n_rows, content_hash,
    substr(sha256(CAST(n_rows AS VARCHAR) || ':' || CAST(content_hash AS VARCHAR)), 1, 16) AS dataset_signature FROM (
    SELECT count(*) AS n_rows, CAST(coalesce(sum(h), 0) % 2305843009213693951 AS BIGINT) AS content_hash FROM (
-     SELECT CAST(('0x' || substr(md5(concat_ws('|', {', '.join(
-        f"CAST(CAST(floor({c} * 1000000) AS BIGINT) AS VARCHAR)" if f == 'float' else
-        (f"CAST(epoch_us({c}) AS VARCHAR)" if f == 'temporal' else f"CAST({c} AS VARCHAR)")
-        for c, f in SCHEMAS[t])})), 1, 8)) AS BIGINT) AS h FROM {t}) x) y"""
-    for t in ("customer", "orders", "lineitem", "events", "part")))
+     SELECT CAST(('0x' || substr(md5(concat_ws('|', {cols})), 1, 8)) AS BIGINT) AS h FROM {t}) x) y"""
+
+
+@query("fingerprint", sql=" UNION ALL ".join(fingerprint_sql(t) for t in ("customer", "orders", "lineitem", "events", "part")))
 def q_fingerprint(spark, sf_dir):
     parts = [fingerprint(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*")
              for t in ("customer", "orders", "lineitem", "events", "part")]
