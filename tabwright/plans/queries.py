@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_eda, q_explain, q_features, q_metrics, q_models, q_profile, q_runs  # noqa: F401  (registration side effects)
+from . import q_clean, q_eda, q_explain, q_features, q_io, q_metrics, q_models, q_profile, q_runs  # noqa: F401  (registration side effects)
 from .registry import ORACLES, QUERIES
 
 
