@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 
 def quantiles_long(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                   exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+                   exact: bool = True, accuracy: int = 100_000, small_groups_first: bool = True,
+                   max_groups: int = 10_000) -> DataFrame:
     """-> (group_cols..., prob double, value double); nulls ignored, groups with no values omitted."""
     v = F.col(value_col).cast("double")
     base = long_df.where(F.col(value_col).isNotNull()).select(*group_cols, v.alias("_v"))
@@ -37,6 +38,14 @@ def quantiles_long(long_df: DataFrame, group_cols: list[str], value_col: str, pr
         return q.select(*group_cols, F.posexplode("_q").alias("_i", "value")).select(
             *group_cols, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "value")
 
+    # pass 0: group sizes (one row per group).  With few groups that all fit the
+    # sketch bound, one exact ``percentile`` aggregate is the whole answer.
+    if small_groups_first:
+        sizes = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).limit(max_groups + 1).collect()
+        if len(sizes) <= max_groups and all(r["_n"] <= accuracy for r in sizes):
+            q = base.groupBy(*group_cols).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+            return q.select(*group_cols, F.posexplode("_q").alias("_i", "value")).select(
+                *group_cols, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "value")
     eps = 3.0 / accuracy
     lo_p = [max(0.0, p - eps) for p in probs]
     hi_p = [min(1.0, p + eps) for p in probs]

@@ -60,7 +60,7 @@ def make_estimator(name: str, n_train: int, n_classes: int = 2, options: Options
     if name == "SVM":
         c = p.pop("C", 1.0)
         svc = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * n), maxIter=_size(options, 1000, 100),
-                        tol=1e-4, **p)
+                        tol=1e-4, standardization=False, **p)
         return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=features, labelCol=label)
     if name == "SVR":
         c = p.pop("C", 1.0)

@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -39,11 +40,13 @@ class TrainSet:
     labels: list[str] = field(default_factory=list)   # class names by index
     n: int = 0
     k: int = 5
+    partitions: int | None = None
     _folds: dict = field(default_factory=dict)
 
     def release(self):
         for _, (tr, te, _) in self._folds.items():
             tr.unpersist()
+            te.unpersist()
         self._folds.clear()
 
 
@@ -64,11 +67,19 @@ def prepare(df: DataFrame, key: str, target: str, task_type: str, numeric: list[
     n = d.count()
     k, strat = choose_folds(task_type, n, smallest, options)
     d = fold_stratified(d, key, target, k, options) if strat else fold_assign(d, key, k, options)
+    # iterative learners run one job per iteration: keep about rows_per_partition rows per task
+    # (only ever reduces the partition count, so large inputs keep their layout)
+    want = max(1, -(-n // options.rows_per_partition))
+    d, parts = d.coalesce(want), want      # coalesce never adds partitions
     if materialize == "checkpoint":
         d = d.checkpoint(eager=True)          # reliable copy in spark.checkpoint.dir; survives executor loss
     else:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    return TrainSet(d, key, target, task_type, numeric, categorical, labels, n, k)
+    return TrainSet(d, key, target, task_type, numeric, categorical, labels, n, k, parts)
+
+
+def _sized(ts: TrainSet, df: DataFrame) -> DataFrame:
+    return df.coalesce(ts.partitions) if ts.partitions else df
 
 
 def _fold_data(ts: TrainSet, f: int, options: Options):
@@ -76,11 +87,22 @@ def _fold_data(ts: TrainSet, f: int, options: Options):
         tr = ts.df.where(F.col("fold") != f)
         te = ts.df.where(F.col("fold") == f)
         pre = fit_preprocessor(tr, ts.numeric, ts.categorical, options)
-        trx = pre.transform(tr).select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK)
-        ts._folds[f] = (trx, pre.transform(te).select("features", "label_idx"), pre)
+        trx = _sized(ts, pre.transform(tr).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+        tex = _sized(ts, pre.transform(te).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+        ts._folds[f] = (trx, tex, pre)
     return ts._folds[f]
 
 
+def cv_score(pred: DataFrame, task_type: str, scoring: str) -> float:
+    """Fold score with Spark's evaluators (one job each): weightedFMeasure is the
+    support-weighted F1 over true labels, the same definition as ``prf_weighted``."""
+    if task_type == "regression":
+        return float(RegressionEvaluator(labelCol="label_idx", predictionCol="prediction", metricName="r2").evaluate(pred))
+    metric = "weightedFMeasure" if scoring == "f1_weighted" else "accuracy"
+    return float(MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction",
+                                                   metricName=metric).evaluate(pred))
+
+
 def score_predictions(pred: DataFrame, task_type: str, scoring: str) -> float:
     if task_type == "regression":
         return float(M.regression_metrics(pred, "label_idx", "prediction").collect()[0]["r2"] or float("nan"))
@@ -94,13 +116,13 @@ def _fit_score(ts: TrainSet, name: str, params: dict | None, f: int, scoring: st
     n_tr = ts.n - ts.n // ts.k
     est = make_estimator(name, n_tr, max(2, len(ts.labels)), options, params)
     model = est.fit(trx)
-    return score_predictions(model.transform(tex), ts.task_type, scoring)
+    return cv_score(model.transform(tex), ts.task_type, scoring)
 
 
 def cross_validate(ts: TrainSet, jobs: list[tuple[str, dict | None]], scoring: str, options: Options = DEFAULT):
     """-> {job index: (fold scores | None, error)}; folds are fitted once and shared."""
-    for f in range(ts.k):
-        _fold_data(ts, f, options)
+    with ThreadPoolExecutor(max_workers=max(1, min(ts.k, options.cv_parallelism))) as pool:
+        list(pool.map(lambda f: _fold_data(ts, f, options), range(ts.k)))
     tasks = [(j, f) for j in range(len(jobs)) for f in range(ts.k)]
 
     def run(t):
@@ -162,7 +184,7 @@ def fit_final(ts: TrainSet, name: str, params: dict | None, options: Options = D
     """Preprocessor + estimator refitted on all training rows."""
     pre = fit_preprocessor(ts.df, ts.numeric, ts.categorical, options)
     est = make_estimator(name, ts.n, max(2, len(ts.labels)), options, params)
-    return pre, est.fit(pre.transform(ts.df).select("features", "label_idx"))
+    return pre, est.fit(_sized(ts, pre.transform(ts.df).select("features", "label_idx")))
 
 
 def tune(ts: TrainSet, name: str, scoring: str, options: Options = DEFAULT) -> TuningResult:

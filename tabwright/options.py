@@ -39,6 +39,7 @@ class Options:
     broadcast_max_rows: int = 1_000_000  # upper bound for a side we hint as broadcast
     model_preset: str = "fast"         # "fast" (few trees, shallow) or "reference" (300 trees...)
     cv_parallelism: int = 8
+    rows_per_partition: int = 200_000   # training-set rows per task for iterative learners
 
     def replace(self, **kw) -> "Options":
         return _replace(self, **kw)

@@ -121,3 +121,11 @@ def q_predict_batch(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
     r = SEL.tune(ts, "Logistic Regression", "f1_weighted")
     return SEL.predict(r.preprocessor, r.model, s.where(F.col("split") == "test"), ts)
+
+
+@query("automl_run")
+def q_automl_run(spark, sf_dir):
+    """The whole supervised run on document quality (target inferred as the last column)."""
+    from .automl import automl_run
+    d = doc_quality(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "quality")
+    return automl_run(spark, d, "doc_id", "doc_quality").run
