@@ -18,7 +18,8 @@ def leaderboard(fold_scores: DataFrame, group: list[str] | None = None) -> DataF
     agg = fold_scores.groupBy(*group, "candidate_no", "model").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda s: s["score"]).alias("fold_scores"),
         F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
-    w = Window.partitionBy(*group).orderBy(F.desc("mean_score"), "candidate_no")
+    # ties are decided at 1e-12 so that float summation order cannot reorder equal means
+    w = Window.partitionBy(*group).orderBy(F.desc(F.round("mean_score", 12)), "candidate_no")
     return agg.withColumn("rank", F.row_number().over(w))
 
 

@@ -164,7 +164,7 @@ def compare_models(ts: TrainSet, scoring: str, options: Options = DEFAULT, inclu
         fb = fallback_candidate(ts.task_type)
         scores, err = cross_validate(ts, [(fb, None)], scoring, options)[0]
         rows.append((len(rows), fb, scores, statistics.fmean(scores), statistics.pstdev(scores), "fallback"))
-    ok = sorted([r for r in rows if r[5] != "failed" and r[3] is not None], key=lambda r: (-r[3], r[0]))
+    ok = sorted([r for r in rows if r[5] != "failed" and r[3] is not None], key=lambda r: (-round(r[3], 12), r[0]))
     rank = {r[0]: i + 1 for i, r in enumerate(ok)}
     spark = ts.df.sparkSession
     return spark.createDataFrame([(*r, rank.get(r[0])) for r in rows], LEADERBOARD_SCHEMA)

@@ -98,7 +98,7 @@ per AS (SELECT fold, {', '.join(f"avg(CAST(({e}) = o_orderstatus AS DOUBLE)) AS
         FROM fo GROUP BY fold),
 u AS ({' UNION ALL '.join(f"SELECT {i} AS candidate_no, '{n}' AS model, fold, s{i} AS score FROM per" for i, n, _, _ in ORDER_RULES)}),
 lb0 AS (SELECT candidate_no, model, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM u GROUP BY ALL),
-lb AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, candidate_no) AS rank FROM lb0)"""
+lb AS (SELECT *, row_number() OVER (ORDER BY round(mean_score, 12) DESC, candidate_no) AS rank FROM lb0)"""
 
 RUNS_CTE = TABLE_PROFILE + f""",
 {BOARD_CTE},
