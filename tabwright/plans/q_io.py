@@ -55,3 +55,19 @@ def q_model_store(spark, sf_dir):
     test = s.where(F.col("split") == "test")
     return loaded.transform(test).select("doc_id", F.col("quality").cast("string").alias("actual"),
                                          F.col("prediction").alias("prediction_index"))
+
+
+@query("predict_stream")
+def q_predict_stream(spark, sf_dir):
+    """H1 over a stream: the hold-out documents are landed as parquet files and
+    scored by the saved pipeline in a Structured Streaming query (available-now)."""
+    from ..streaming.scoring import read_scored, score_stream
+    s, ts = doc_trainset(spark, sf_dir)
+    pre, model = SEL.fit_final(ts, "Logistic Regression", None)
+    base = _fresh(spark, "stream")
+    pipe = SK.save_model(pre.model, model, base + "/model")
+    landing = s.where(F.col("split") == "test").drop("split")
+    landing.repartition(4).write.parquet(base + "/landing")
+    score_stream(spark, pipe, base + "/landing", landing.schema, base + "/scored", base + "/checkpoint",
+                 ["doc_id", "quality"], max_files_per_trigger=2)
+    return read_scored(spark, base + "/scored")
