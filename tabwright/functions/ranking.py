@@ -25,11 +25,22 @@ from pyspark.sql import functions as F
 from .hashing import HASH_SPACE, hash_unit
 
 
+def bucket_count(n_rows: int, rows_per_bucket: int = 250_000) -> int:
+    """Power of two so that a bucket holds about ``rows_per_bucket`` rows (16 .. 2^20)."""
+    want = max(1, -(-int(n_rows) // rows_per_bucket))
+    return min(1 << 20, max(16, 1 << (want - 1).bit_length()))
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, group: list[str] | None = None,
-              buckets: int = 65536, rank_col: str = "rank", hash_col: str = "_h",
-              size_col: str = "_gn") -> DataFrame:
-    """Adds ``rank_col`` (1-based) and ``size_col`` (rows in the group)."""
+              buckets: int | None = None, rank_col: str = "rank", hash_col: str = "_h",
+              size_col: str = "_gn", n_rows: int | None = None) -> DataFrame:
+    """Adds ``rank_col`` (1-based) and ``size_col`` (rows in the group).
+
+    ``buckets`` defaults to ``bucket_count(n_rows)`` (one count when not given),
+    so a bucket's window stays around 250k rows at any scale."""
     group = list(group or [])
+    if buckets is None:
+        buckets = bucket_count(n_rows if n_rows is not None else df.count())
     width = HASH_SPACE // buckets
     d = df.withColumn(hash_col, hash_unit(key, seed)).withColumn("_b", (F.col(hash_col) / F.lit(width)).cast("long"))
     counts = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as N
 from ..options import DEFAULT, Options
@@ -28,13 +29,48 @@ def catalog_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return cat.withColumn("norm_name", N.normalise(F.col("column_name")))
 
 
+def _canonical(df: DataFrame, name: str):
+    """Text form that is equal exactly when Spark's grouping equality holds
+    (-0.0 folds into 0.0, NaN is one value, nested values as JSON)."""
+    dt = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0)).cast("string")
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(c)
+    return c.cast("string")
+
+
 def lake_stats(tables: dict[str, DataFrame], exact: bool = True, moments: bool = False) -> DataFrame:
-    """(table_name, column_name, metric, value) for all tables, one union job."""
-    parts = [column_stats(df, table=t, exact=exact, moments=moments) for t, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(table_name, column_name, metric, value) for all tables: rows, n_null, n_distinct.
+
+    Exact: every table is exploded to (table, column, value) and two group-bys
+    (the first partially aggregated map-side) give null and distinct counts
+    for the whole lake - two shuffles however many tables and columns.
+    With ``exact=False`` or ``moments=True`` it is one sketch aggregate per table.
+    """
+    if not exact or moments:
+        parts = [column_stats(df, table=t, exact=exact, moments=moments) for t, df in tables.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    long = None
+    for t, df in tables.items():
+        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), _canonical(df, c).alias("v")) for c in df.columns])
+        x = df.select(F.lit(t).alias("table_name"), F.explode(arr).alias("_e")).select("table_name", "_e.column_name", "_e.v")
+        long = x if long is None else long.unionByName(x)
+    per_value = long.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("_c"))
+    per_col = per_value.groupBy("table_name", "column_name").agg(
+        F.sum("_c").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("_c")).otherwise(0)).alias("n_null"),
+        F.count("v").alias("n_distinct"))
+    metrics = F.array(F.struct(F.lit("n_null").alias("metric"), F.col("n_null").cast("double").alias("value")),
+                      F.struct(F.lit("n_distinct").alias("metric"), F.col("n_distinct").cast("double").alias("value")))
+    cols = per_col.select("table_name", "column_name", F.explode(metrics).alias("_m")) \
+        .select("table_name", "column_name", "_m.metric", "_m.value")
+    rows = per_col.groupBy("table_name").agg(F.max("rows").cast("double").alias("value")) \
+        .select("table_name", F.lit("*").alias("column_name"), F.lit("rows").alias("metric"), "value")
+    return cols.unionByName(rows)
 
 
 def stats_wide(stats: DataFrame) -> DataFrame:
@@ -152,19 +188,33 @@ def target_moments(tables: dict[str, DataFrame], targets: dict[str, str]) -> Dat
 def duplicate_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_duplicates); first occurrences not counted.
 
-    One partially-aggregated group-by on the whole row per table: a row
-    repeated a billion times collapses map-side before the shuffle.
+    Exact, without shuffling whole rows: phase 1 is ONE group-by over an
+    8-byte hash of every row of every table (a tiny shuffle); only tables in
+    which some hash repeats run phase 2, which groups just the rows with a
+    repeated hash by their full content (partially aggregated, so a row
+    repeated a billion times collapses map-side).
     """
-    parts = []
+    spark = next(iter(tables.values())).sparkSession
+    hashed = None
     for t, df in tables.items():
-        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-        parts.append(g.agg(F.sum("_c").alias("n_rows"), F.count(F.lit(1)).alias("_d"))
-                     .select(F.lit(t).alias("table_name"), F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
-                             F.coalesce(F.col("n_rows") - F.col("_d"), F.lit(0)).cast("long").alias("n_duplicates")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        x = df.select(F.lit(t).alias("table_name"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
+        hashed = x if hashed is None else hashed.unionByName(x)
+    by_hash = hashed.groupBy("table_name", "_h").agg(F.count(F.lit(1)).alias("_c")).persist()
+    summary = {r["table_name"]: (r["n_rows"], r["n_multi"]) for r in by_hash.groupBy("table_name").agg(
+        F.sum("_c").alias("n_rows"), F.count(F.when(F.col("_c") > 1, 1)).alias("n_multi")).collect()}
+    rows = []
+    for t, df in tables.items():
+        n_rows, n_multi = summary.get(t, (0, 0))
+        n_dup = 0
+        if n_multi:
+            multi = by_hash.where((F.col("table_name") == t) & (F.col("_c") > 1)).select("_h")
+            hd = df.select("*", F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
+            cand = hd.join(multi, "_h", "left_semi")
+            n_dup = cand.groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_c")) \
+                .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("d")).collect()[0]["d"]
+        rows.append((t, int(n_rows or 0), int(n_dup)))
+    by_hash.unpersist()
+    return spark.createDataFrame(rows, "table_name string, n_rows long, n_duplicates long")
 
 
 # ---------------------------------------------------------------- B8-B11
@@ -279,10 +329,11 @@ def table_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame, dups
 def profile_lake(spark: SparkSession, tables: dict[str, DataFrame], options: Options = DEFAULT):
     """Everything above for a dict of tables; returns a dict of DataFrames."""
     cat = catalog_of(spark, tables)
-    stats = lake_stats(tables, exact=options.exact)
+    # small results reused by several rules: computed once, kept on the executors
+    stats = lake_stats(tables, exact=options.exact).persist()
     targets = infer_target(cat)
     tmap = {r["table_name"]: r["target"] for r in targets.collect()}   # one name per table
-    counts = target_counts(tables, tmap)
+    counts = target_counts(tables, tmap).persist()
     topk = target_topk(counts)
     dups = duplicate_counts(tables)
     return {"catalog": cat, "stats": stats, "targets": targets, "target_map": tmap, "counts": counts,
