@@ -71,7 +71,7 @@ def auc(df: DataFrame, label: str, score: str, positive=1, group: list[str] | No
     group = list(group)
     is_pos = (F.col(label) == F.lit(positive)).cast("long")
     g = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, F.col(score).cast("double").alias("_s")) \
-        .agg(F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_n"))
+        .agg(F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_n")).persist()   # read the source once
     rng = g.groupBy(*group).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     gb = g.join(rng, group, "inner")
