@@ -32,13 +32,18 @@ def main():
     # warm-up: JVM start and first parquet footer reads are not part of any query
     spark.read.parquet(os.path.join(sf_dir, "region.parquet")).count()
     for n in names:
+        spark.catalog.clearCache()       # each query starts without the previous one's cached data
         t = time.time()
         qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t, 3)
         print(f"# {n}: {times[n]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    # headline value = the end-to-end supervised run (the reference's published metric);
+    # the other operators are reported per query and in total
+    value = times.get("automl_run", round(sum(times.values()), 3))
+    print(json.dumps({"metric": "end_to_end_run" if "automl_run" in times else "headline_total", "value": value,
+                      "unit": "sec", "queries": times, "total_sec": round(sum(times.values()), 3),
+                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
 if __name__ == "__main__":

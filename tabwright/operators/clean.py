@@ -68,6 +68,7 @@ class CleanResult:
     data: DataFrame
     report: DataFrame
     plan: CleanPlan
+    kept: DataFrame = None      # the persisted de-duplicated rows (unpersist when done)
 
 
 def _fill_expr(df: DataFrame, plan: CleanPlan) -> list:
@@ -140,7 +141,7 @@ def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool
 
     data = kept.select(*_fill_expr(kept, plan))
     report = cleaning_report(kept, data, plan, nulls)
-    return CleanResult(data=data, report=report, plan=plan)
+    return CleanResult(data=data, report=report, plan=plan, kept=dedup)
 
 
 def cleaning_report(kept: DataFrame, cleaned: DataFrame, plan: CleanPlan, nulls: dict) -> DataFrame:

@@ -337,4 +337,4 @@ def profile_lake(spark: SparkSession, tables: dict[str, DataFrame], options: Opt
     topk = target_topk(counts)
     dups = duplicate_counts(tables)
     return {"catalog": cat, "stats": stats, "targets": targets, "target_map": tmap, "counts": counts,
-            "topk": topk, "dups": dups}
+            "topk": topk, "dups": dups, "release": lambda: (stats.unpersist(), counts.unpersist())}

@@ -59,6 +59,7 @@ def automl_run(spark: SparkSession, df: DataFrame, key: str, table_name: str = "
     tp = P.target_profile(prof["catalog"], prof["stats"], prof["targets"]).collect()[0]
     task = tp["task_type"]
     tprof = P.table_profile(prof["catalog"], prof["stats"], prof["targets"], prof["dups"], prof["topk"]).collect()[0]
+    prof["release"]()
     lap("profile")
 
     # clean + EDA
@@ -163,6 +164,7 @@ def automl_run(spark: SparkSession, df: DataFrame, key: str, table_name: str = "
         REG.append_runs(run, registry_path)
     ts.release()
     ts.df.unpersist()
+    cr.kept.unpersist()
     lap("finalize")
     return RunResult(run, board, spark.createDataFrame([(k, float(v)) for k, v in mets.items() if v is not None],
                                                        "metric string, value double"),
