@@ -5,9 +5,10 @@ Order is part of the semantics: C1 -> C2 -> C3 -> C4 -> per column (C5 -> C6)
 -> C7.  The clip bounds come from the quartiles and the numeric fill value is
 the median of the *unclipped* non-null values.
 
-Spark shape: the de-duplicated rows are persisted once (the only shuffle is
-``dropDuplicates``, partially aggregated map-side, so a value group holding a
-third of all rows collapses before the exchange); then three small
+Spark shape: the de-duplicated rows are persisted once (the only shuffle is a
+group-by over the whole row with a copy count - partially aggregated map-side,
+so a row repeated for a third of the table collapses before the exchange, and
+the input row count falls out of the same pass); then three small
 aggregates (null counts; quantiles; modes) are collected as statistics rows
 and the cleaned table is one projection.  No per-column jobs.
 """
@@ -95,18 +96,21 @@ def _fill_expr(df: DataFrame, plan: CleanPlan) -> list:
 def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool = True) -> CleanResult:
     spark = df.sparkSession
     c1 = replace_inf(df)
-    dedup = drop_duplicates(c1)
+    # C2 as one group-by over the whole row that also keeps the copy count, so the
+    # input row count comes from the same (map-side combined) shuffle - one scan
+    grouped = c1.groupBy(*c1.columns).agg(F.count(F.lit(1)).alias("_copies"))
     if persist:
-        dedup = dedup.persist(StorageLevel.MEMORY_AND_DISK)
+        grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+    dedup = grouped.drop("_copies")
     has_t = target in df.columns
     t_ok = F.col(target).isNotNull() if has_t else F.lit(True)
 
     # statistics row 1: rows before/after dedup, null target rows, null counts over kept rows
-    initial_rows = c1.count()
-    aggs = [F.count(F.lit(1)).alias("_dedup"), F.count(F.when(t_ok, 1)).alias("_kept")]
+    aggs = [F.coalesce(F.sum("_copies"), F.lit(0)).alias("_initial"), F.count(F.lit(1)).alias("_dedup"),
+            F.count(F.when(t_ok, 1)).alias("_kept")]
     aggs += [F.count(F.when(t_ok & F.col(c).isNull(), 1)).alias(f"_n{i}") for i, c in enumerate(df.columns)]
-    row = dedup.agg(*aggs).collect()[0]
-    n_dedup, n_kept = row["_dedup"], row["_kept"]
+    row = grouped.agg(*aggs).collect()[0]
+    initial_rows, n_dedup, n_kept = row["_initial"], row["_dedup"], row["_kept"]
     nulls = {c: row[f"_n{i}"] for i, c in enumerate(df.columns)}
 
     kept = drop_null_target(dedup, target)
@@ -141,7 +145,7 @@ def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool
 
     data = kept.select(*_fill_expr(kept, plan))
     report = cleaning_report(kept, data, plan, nulls)
-    return CleanResult(data=data, report=report, plan=plan, kept=dedup)
+    return CleanResult(data=data, report=report, plan=plan, kept=grouped)
 
 
 def cleaning_report(kept: DataFrame, cleaned: DataFrame, plan: CleanPlan, nulls: dict) -> DataFrame:
