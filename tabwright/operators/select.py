@@ -89,6 +89,7 @@ def _fold_data(ts: TrainSet, f: int, options: Options):
         pre = fit_preprocessor(tr, ts.numeric, ts.categorical, options)
         trx = _sized(ts, pre.transform(tr).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
         tex = _sized(ts, pre.transform(te).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+        trx.count(), tex.count()    # fill the caches once, before concurrent fits read them
         ts._folds[f] = (trx, tex, pre)
     return ts._folds[f]
 
