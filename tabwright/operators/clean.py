@@ -93,13 +93,19 @@ def _fill_expr(df: DataFrame, plan: CleanPlan) -> list:
     return cols
 
 
-def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool = True) -> CleanResult:
+def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool = True,
+          materialize: str = "persist") -> CleanResult:
+    """``materialize="checkpoint"`` writes the de-duplicated rows to the shared
+    ``spark.checkpoint.dir`` (survives executor loss without recomputing the
+    shuffle); the default persists them (MEMORY_AND_DISK)."""
     spark = df.sparkSession
     c1 = replace_inf(df)
     # C2 as one group-by over the whole row that also keeps the copy count, so the
     # input row count comes from the same (map-side combined) shuffle - one scan
     grouped = c1.groupBy(*c1.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    if persist:
+    if persist and materialize == "checkpoint":
+        grouped = grouped.checkpoint(eager=True)
+    elif persist:
         grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
     dedup = grouped.drop("_copies")
     has_t = target in df.columns

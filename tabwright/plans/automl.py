@@ -63,7 +63,7 @@ def automl_run(spark: SparkSession, df: DataFrame, key: str, table_name: str = "
     lap("profile")
 
     # clean + EDA
-    cr = clean(df, target, options)
+    cr = clean(df, target, options, materialize=materialize)
     data = cr.data
     num_cols = [c for c in cr.plan.numeric if c != key]
     cat_cols = [c for c in cr.plan.categorical if c != key]
