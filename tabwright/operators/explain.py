@@ -110,12 +110,14 @@ def permutation_copies(df: DataFrame, key: str, features: list[str], repeats: in
     values of the row with rank i under hash B, ranks per (feature, repeat)."""
     tags = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                                for f in features for r in range(repeats)]))
+    n_copies = df.count() * len(features) * repeats      # sizes the rank buckets without counting the copies
     x = df.select("*", tags.alias("_t")).select("*", "_t.feature", "_t.rep").drop("_t")
     tag = F.concat_ws(":", F.col(key).cast("string"), F.col("feature"), F.col("rep").cast("string"))
     x = x.withColumn("_pa", F.concat(tag, F.lit(":a"))).withColumn("_pb", F.concat(tag, F.lit(":b")))
-    a = hash_rank(x, "_pa", seed, group=["feature", "rep"], rank_col="_r", hash_col="_ha").drop("_gn", "_ha", "_pb")
+    a = hash_rank(x, "_pa", seed, group=["feature", "rep"], rank_col="_r", hash_col="_ha",
+                  n_rows=n_copies).drop("_gn", "_ha", "_pb")
     b = hash_rank(x.select("feature", "rep", "_pb", *[F.col(f).alias(f"_src_{f}") for f in features]),
-                  "_pb", seed, group=["feature", "rep"], rank_col="_r", hash_col="_hb").drop("_gn", "_hb", "_pb")
+                  "_pb", seed, group=["feature", "rep"], rank_col="_r", hash_col="_hb", n_rows=n_copies).drop("_gn", "_hb", "_pb")
     j = a.join(b, ["feature", "rep", "_r"])
     cols = [F.when(F.col("feature") == f, F.col(f"_src_{f}")).otherwise(F.col(f)).alias(f) if f in features else F.col(f)
             for f in df.columns]
