@@ -133,8 +133,9 @@ def target_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame) ->
         .join(w.withColumnRenamed("column_name", "target"), ["table_name", "target"])
     nn = F.col("n_rows") - F.col("n_null")
     return t.select("table_name", "target", "family", "n_rows", "n_null", "n_distinct",
-                    task_type_expr(F.col("family"), nn, F.col("n_distinct")).alias("task_type"),
-                    F.when(F.col("n_distinct") <= 20, "classification").otherwise("regression").alias("problem_type"))
+                    task_type_expr(F.col("family"), nn, F.col("n_distinct"), DEFAULT.classification_max_distinct).alias("task_type"),
+                    F.when(F.col("n_distinct") <= DEFAULT.classification_max_distinct, "classification")
+                    .otherwise("regression").alias("problem_type"))
 
 
 # ---------------------------------------------------------------- B6

@@ -26,17 +26,14 @@ class Options:
     correlation_drop: float = 0.98
     imbalance_majority: float = 0.75
     minority_f1_ratio: float = 0.35
-    # explanation sample sizes (reference: 200 rows, 50 background, 30 local)
+    # explanation sample sizes (reference: 200 rows, 50 background)
     explain_rows: int = 200
     background_rows: int = 50
-    surrogate_rows: int = 30
     permutation_repeats: int = 5
     pdp_grid_points: int = 100
     # scale knobs
     exact: bool = True                 # exact quantiles/distincts; False -> sketches
     quantile_accuracy: int = 100_000    # approx_percentile accuracy used to bound the exact refine pass
-    rank_buckets: int = 4096           # hash buckets for distributed exact per-group ranks
-    broadcast_max_rows: int = 1_000_000  # upper bound for a side we hint as broadcast
     model_preset: str = "fast"         # "fast" (few trees, shallow) or "reference" (300 trees...)
     cv_parallelism: int = 8
     rows_per_partition: int = 200_000   # training-set rows per task for iterative learners

@@ -127,7 +127,7 @@ def q_eda_flags(spark, sf_dir):
     for t in FLAG_TABLES:
         num, _ = split_roles(tables[t], p["target_map"][t])
         c = D.corr_long(tables[t], num)
-        parts.append(c.agg(F.max((F.abs("r") > 0.9).cast("int")).alias("hc")).select(
+        parts.append(c.agg(F.max((F.abs("r") > DEFAULT.correlation_flag).cast("int")).alias("hc")).select(
             F.lit(t).alias("table_name"), F.coalesce(F.col("hc") == 1, F.lit(False)).alias("high_corr")))
     cf = parts[0]
     for x in parts[1:]:
@@ -135,7 +135,7 @@ def q_eda_flags(spark, sf_dir):
     is_cls = F.col("task_type") == "classification"
     return tp.join(maj, "table_name").join(cf, "table_name", "left").select(
         "table_name", F.round(F.when(is_cls, F.col("majority_share")), 4).alias("majority_share"),
-        F.coalesce(is_cls & (F.col("majority_share") > 0.75), F.lit(False)).alias("imbalanced"),
+        F.coalesce(is_cls & (F.col("majority_share") > DEFAULT.imbalance_majority), F.lit(False)).alias("imbalanced"),
         F.coalesce("high_corr", F.lit(False)).alias("high_corr"))
 
 
