@@ -48,7 +48,13 @@ def hash_rank(df: DataFrame, key: str, seed: int, group: list[str] | None = None
     wg = Window.partitionBy(*group)
     prefix = counts.select(*group, "_b", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"),
                            F.sum("_cnt").over(wg).alias(size_col))
-    d = d.join(prefix, on=[*group, "_b"], how="inner")
+    if group:
+        # null-safe on the group columns: rows of a null group are ranked, never dropped
+        p = prefix.select(*[F.col(g).alias(f"_p_{g}") for g in group], F.col("_b").alias("_p_b"), "_before", size_col)
+        cond = [d[g].eqNullSafe(p[f"_p_{g}"]) for g in group] + [d["_b"] == p["_p_b"]]
+        d = d.join(p, cond, "inner").drop(*[f"_p_{g}" for g in group], "_p_b")
+    else:
+        d = d.join(prefix, on=["_b"], how="inner")
     w2 = Window.partitionBy(*group, "_b").orderBy(hash_col, key)
     return d.withColumn(rank_col, F.col("_before") + F.row_number().over(w2)).drop("_b", "_before")
 

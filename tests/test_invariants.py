@@ -117,3 +117,11 @@ def test_csv_tokens(spark, tmp_path):
     assert df.columns == ["a", "b", "c"]
     assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
     assert df.where(F.col("a").isNull()).count() == 1 and df.where(F.col("b").isNull()).count() == 1
+
+
+def test_hash_rank_keeps_null_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "k long, g string")
+    r = hash_rank(df, "k", 42, group=["g"], buckets=16, rank_col="r")
+    assert r.count() == 30
+    got = sorted(x["r"] for x in r.where(F.col("g").isNull()).collect())
+    assert got == list(range(1, 11))
