@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import langid, mixing, packing, quality_rules, sharding
 from .common import read_table
 from .registry import ORACLES, QUERIES, query
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs, model, keep=("held_out",))
+
+
 @query("op7_quality_rules", quality_rules.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
@@ -30,6 +37,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(QUERIES)
 
