@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality_rules, sharding
+from . import euclid_lsh, langid, mixing, packing, pii, quality_rules, sharding, warc
 from .common import read_table
 from .registry import ORACLES, QUERIES, query
 
@@ -37,6 +37,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_arc_to_warc", warc.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("record_id")
+
+
+@query("op3_euclid_lsh")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return euclid_lsh.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
