@@ -15,8 +15,9 @@ leaves a block pair is one row per linked class (its number of links, and the
 least class of its local component), never the pairs.
 
 Null, zero or non-finite vectors (also in one component) link with nothing;
-so do vectors of different lengths.  Repeated ids are separate rows with the
-same vec_id.  Other columns, labels too, are not read.
+so do vectors of different lengths.  Null ids count as -1; vectors that share
+an id are one node, with the links of both.  Other columns, labels too, are not
+read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,13 @@ BLOCK = 2048
 SEED = 17
 
 
+def normalised(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def collision(distance: float, width: float = WIDTH) -> float:
     """Probability that one p-stable hash agrees on two points ``distance`` apart."""
     t = width / distance
@@ -98,6 +106,7 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
     """(cls, weight, root) rows: links counted per block pair, and a linked class to join."""
     spark = classes.sparkSession
     k, tables = parameters(n, cosine)
+    stored = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,19 +114,18 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
             out_i, out_s, out_x = [], [], []
             for size in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == size]
-                x = np.array([vecs[i] for i in at], dtype=np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)      # no overflow or underflow of squares
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                raw = np.array([vecs[i] for i in at], dtype=stored)
                 out_i += at
-                out_s += list(signatures(x, k, tables))
-                out_x += [r.tobytes() for r in x]
+                out_s += list(signatures(normalised(raw), k, tables))
+                out_x += [r.tobytes() for r in raw]
             idx = pa.array(out_i, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(out_x, pa.binary()), pa.array(out_s, pa.list_(pa.int64()))], names=["cls", "m", "x", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(out_x, pa.binary()), pa.array([r.tobytes() for r in out_s], pa.binary()),
+                                              pa.array(out_s, pa.list_(pa.int64()))], names=["cls", "m", "x", "sig", "keys"])
 
-    signed = materialize(classes.mapInArrow(sign, "cls long, m long, x binary, sig array<long>"), "lsh-signed")
-    hot = materialize(signed.select(F.posexplode("sig").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("_n"))
+    signed = materialize(classes.mapInArrow(sign, "cls long, m long, x binary, sig binary, keys array<long>"), "lsh-signed")
+    hot = materialize(signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("_n"))
                       .where(F.col("_n") > BLOCK).select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "lsh-hot")
-    rows = signed.select("cls", "m", "x", "sig", F.posexplode("sig").alias("t", "key"))
+    rows = signed.select("cls", "m", "x", "sig", F.posexplode("keys").alias("t", "key"))
     rows = rows.join(hot, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")), "left").drop("_t", "_k")
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn(
@@ -147,8 +155,8 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
                 left = [r for r in part if r[0] == a]
                 right = part[:0] if a == b else [r for r in part if r[0] == b]
                 all_rows = left + right
-                x = np.frombuffer(b"".join(r[3] for r in all_rows), dtype=np.float64).reshape(len(all_rows), -1)
-                sig = np.array([r[4] for r in all_rows], dtype=np.int64)
+                x = normalised(np.frombuffer(b"".join(r[3] for r in all_rows), dtype=stored).reshape(len(all_rows), -1))
+                sig = np.frombuffer(b"".join(r[4] for r in all_rows), dtype=np.int64).reshape(len(all_rows), -1)
                 m = np.array([r[2] for r in all_rows], dtype=np.int64)
                 cls = np.array([r[1] for r in all_rows], dtype=np.int64)
                 n_left = len(left)
@@ -177,10 +185,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     bounded_batches(vectors.sparkSession)
     v = F.col(vec_col)
     finite = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    d = vectors.select(F.col(id_col).alias("vec_id"), F.when(finite, F.transform(v, lambda c: c.cast("double") + F.lit(0.0))).alias("v"))
+    d = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("vec_id"), F.when(finite, F.transform(v, lambda c: F.when(c == 0, F.abs(c)).otherwise(c))).alias("v"))
     d = d.withColumn("vkey", F.sha2(F.to_json("v").cast("binary"), 256))
     grouped = d.where("v IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
-    classes = materialize(grouped.withColumn("cls", F.coalesce("cls", F.lit(-1).cast("long"))), "lsh-classes")
+    classes = materialize(grouped, "lsh-classes")
     found = materialize(links(classes.select("cls", "m", "v"), classes.count(), cosine), "lsh-links")
     groups = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     weights = found.groupBy("cls").agg(F.sum("weight").alias("weight"))
