@@ -6,7 +6,10 @@ by driver and executors), so they cut lineage and survive lost executors.
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +25,27 @@ BROADCAST_ROWS = 200_000
 BATCH_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Cap Arrow batches by bytes, so that long texts cannot pile up in a worker."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Cap Arrow batches by bytes, so that long texts cannot pile up in a worker, and
+    make this package importable there (once per context, as ``--py-files`` would)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    sc = spark.sparkContext
+    if getattr(sc, "_tabwright_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder in ("", "llm"):
+            for f in sorted(os.listdir(os.path.join(root, folder))):
+                if f.endswith(".py"):
+                    z.write(os.path.join(root, folder, f), os.path.join("tabwright", folder, f))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabwright-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._tabwright_shipped = True
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import prepare_workers, materialize
 from .components import components
 
 COSINE = 0.95
@@ -182,7 +182,7 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector."""
-    bounded_batches(vectors.sparkSession)
+    prepare_workers(vectors.sparkSession)
     v = F.col(vec_col)
     finite = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
     d = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("vec_id"), F.when(finite, F.transform(v, lambda c: F.when(c == 0, F.abs(c)).otherwise(c))).alias("v"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, bounded_batches
+from .common import GAP, prepare_workers
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 200      # labelled documents per language, at most about this many
@@ -283,7 +283,7 @@ def scorer(key: str, sent) -> Scorer:
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score and the columns named in ``keep``."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     sent = spark.sparkContext.broadcast((model["langs"], model["pieces"], model["prob"]))
     key = uuid.uuid4().hex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)

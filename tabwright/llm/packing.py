@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches
+from .common import prepare_workers
 
 WINDOW = 1024
 END_ID = 0
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
            tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens[, ids]: full windows and the rest of every document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     path = tokenizer or tokenizer_path()
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else ""))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare_workers
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 6000
@@ -328,7 +328,7 @@ def fit(samples: list[tuple[Region, set[int]]], epochs: int = EPOCHS, rate: floa
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_regions: int = SAMPLE_REGIONS) -> SemiCRF:
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     n = max(1, docs.count())
     key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|pii"))), 1, 8), 16, 10).cast("long")
     d = docs.select(key.alias("key"), F.col(text_col).alias("text")).where(
@@ -394,7 +394,7 @@ def redacted(text: str, spans) -> str:
 def detect(docs: DataFrame, crf: SemiCRF, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_<kind> of base spans, base_sha256, spans, n_added[, redacted][, columns in ``keep``]."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     sent, key = spark.sparkContext.broadcast((crf.names, crf.w, crf.pair)), uuid.uuid4().hex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text"]

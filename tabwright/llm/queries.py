@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import euclid_lsh, langid, mixing, packing, pii, quality_rules, sharding, warc
+from . import bloom_lm, euclid_lsh, langid, mixing, packing, pii, quality_rules, sharding, warc
 from .common import read_table
 from .registry import ORACLES, QUERIES, query
 
@@ -25,6 +25,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       base.alias("base_failed"), "kept")
 
 
+@query("op9_bloom_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", bloom_lm.held_out())
+    return bloom_lm.score(docs, docs.where("NOT held_out"), keep=("held_out",))
+
+
 @query("op10_mixing", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path
+from .common import prepare_workers, scratch_path
 
 MIN_REVISIT = 100
 ARC_DATE = "20260101000000"
@@ -57,7 +57,7 @@ def _gzip_fast(writer):
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """One ARC file per partition, versions 1 and 2 in turn; the page id travels in an HTTP header."""
-    bounded_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     d = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"),
                      F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
 
@@ -168,7 +168,7 @@ def _header(head: bytes, name: bytes) -> str | None:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, ip, date (ISO), mime, head, payload, payload_digest of all records under ``path``."""
-    bounded_batches(spark)
+    prepare_workers(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
@@ -258,7 +258,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id[, payload] of the
     responses and revisits under ``path``.  Digests of responses are computed anew and must
     equal the declared ones."""
-    bounded_batches(spark)
+    prepare_workers(spark)
     types = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
              ("refers_to", pa.int64()), ("record_id", pa.string())] + ([("payload", pa.binary())] if payloads else [])
 
