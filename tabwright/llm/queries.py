@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, euclid_lsh, langid, mixing, packing, pii, quality_rules, sharding, warc
+from . import bloom_lm, euclid_lsh, jaccard_join, langid, mixing, packing, pii, quality_rules, sharding, warc
 from .common import read_table
 from .registry import ORACLES, QUERIES, query
 
@@ -25,6 +25,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       base.alias("base_failed"), "kept")
 
 
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_bloom_lm")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", bloom_lm.held_out())
