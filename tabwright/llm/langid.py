@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import GAP, prepare_workers
 
@@ -186,6 +187,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> dict:
     """{"langs", "pieces", "prob"}; ``labelled`` holds the rows to learn from."""
     spark = labelled.sparkSession
+    prepare_workers(spark)
     d = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     seen = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -287,7 +289,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     sent = spark.sparkContext.broadcast((model["langs"], model["pieces"], model["prob"]))
     key = uuid.uuid4().hex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text"]
+    schema = StructType([*(f for f in d.schema if f.name != "_text"), *StructType.fromDDL("lang_pred string, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_texts = scorer(key, sent)
@@ -297,7 +299,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             names = [n for i, n in enumerate(b.schema.names) if i != 1]
             yield pa.RecordBatch.from_arrays([*others, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return d.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return d.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -65,56 +65,72 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
         (F.col("s_size") * max_repeat).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), copies: a row per document."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *keep) -> DataFrame:
+    """doc_id, src, size, u (uniform in the id), q (size measure) and ``keep``."""
     u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13), 16, 10)
-    base = materialize(docs.select(
+    return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-        ((u.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"))
-        .withColumn("q", F.ceil(F.sqrt("size")).cast("long")), "mix-sizes")
+        ((u.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"), *keep).withColumn("q", F.ceil(F.sqrt("size")).cast("long"))
+
+
+def ranked(rows: DataFrame, per_source: DataFrame, buckets: int) -> DataFrame:
+    """Adds the source's parameters, the Pareto rank (null: never sampled) and its bucket."""
+    lam = F.least(F.col("need") * F.col("q") / F.col("s_q").cast("double"), F.lit(1.0))
+    out = join_small(rows, per_source.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
+    out = (out.withColumn("lam", F.when((F.col("size") > 0) & (F.col("need") > 0), lam))
+           .withColumn("rank", F.when(F.col("lam") < 1, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("lam")) / F.col("lam")))
+                       .when(F.col("lam") >= 1, F.lit(0.0))))
+    return out.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """Adds ``inside``: within the documents of smallest rank that fit."""
+    key = F.struct(F.col("rank"), F.col("doc_id").isNotNull().alias("i"), F.col("doc_id"))
+    inside = (F.col("bucket") < F.col("edge")) | F.col("edge").isNull() | ((F.col("bucket") == F.col("edge")) & (key <= F.col("last")))
+    return rows.withColumn("inside", F.col("rank").isNotNull() & F.coalesce(inside, F.lit(False))).withColumn("gap", F.col("need") - F.col("got"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeat: int = MAX_REPEAT, seed: str = SEED, rows: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted), copies: a row per document.
+
+    ``rows``: also ``row``, a struct of the document's own columns (texts are read again, not joined)."""
+    base = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     src = materialize(source_targets(base, weights, share_percent, max_repeat), "mix-targets")
     size = F.col("s_size").cast("double")
     whole = F.when(F.col("s_size") == 0, F.lit(0.0)).otherwise(F.least(F.floor(F.col("target") / size), F.lit(max_repeat)))
-    src = src.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * size)
-    lam = F.least(F.col("need") * F.col("q") / F.col("s_q").cast("double"), F.lit(1.0))
-    ranked = (join_small(base, src.withColumnRenamed("src", "_src"), base["src"].eqNullSafe(F.col("_src"))).drop("_src")
-              .withColumn("lam", F.when((F.col("size") > 0) & (F.col("need") > 0), lam))
-              .withColumn("rank", F.when(F.col("lam") < 1, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("lam")) / F.col("lam")))
-                          .when(F.col("lam") >= 1, F.lit(0.0))))  # null: never sampled
+    src = materialize(src.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * size), "mix-need")
     most = src.agg(F.max("s_n")).first()[0] or 1
     buckets = 1 << max(10, math.ceil(math.log2(most / ROWS_PER_BUCKET + 1)))
-    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
-    sums = ranked.where("rank IS NOT NULL").groupBy("src", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    run = Window.partitionBy("src").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("words").over(run))
+    known = ranked(base, src, buckets)
+    sums = known.where("rank IS NOT NULL").groupBy("src", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("src").orderBy("bucket")))
     # words of all buckets that fit whole, and the bucket in which the sum passes
-    cut = materialize(sums.groupBy("src").agg(
+    cut = materialize(sums.groupBy(F.col("src").alias("_src")).agg(
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.lit(0)).alias("fit"),
-        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("edge")), "mix-cut").withColumnRenamed("src", "_src")
+        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("edge")), "mix-cut")
     same = F.col("src").eqNullSafe(F.col("_src"))
-    near = join_small(ranked, cut, same).where(F.col("bucket") == F.col("edge"))
+    near = join_small(known, cut, same).where(F.col("bucket") == F.col("edge"))
     near = near.withColumn("upto", F.col("fit") + F.sum("size").over(Window.partitionBy("src").orderBy("rank", "doc_id")))
-    ends = (near.groupBy("src").agg(
+    ends = (near.groupBy(F.col("src").alias("_s2")).agg(
         F.max(F.when(F.col("upto") <= F.col("need"), F.struct("rank", F.col("doc_id").isNotNull().alias("i"), "doc_id"))).alias("last"),
-        F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).alias("got")).withColumnRenamed("src", "_s2"))
+        F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).alias("got")))
     cut = materialize(cut.join(ends, F.col("_src").eqNullSafe(F.col("_s2")), "left").drop("_s2")
                       .withColumn("got", F.coalesce("got", "fit")), "mix-ends")
-    key = F.struct(F.col("rank"), F.col("doc_id").isNotNull().alias("i"), F.col("doc_id"))
-    inside = F.coalesce((F.col("bucket") < F.col("edge")) | F.col("edge").isNull() | ((F.col("bucket") == F.col("edge")) & (key <= F.col("last"))), F.lit(False))
-    drawn = (join_small(ranked, cut, same, "left").drop("_src")
-             .withColumn("inside", F.col("rank").isNotNull() & inside)
-             .withColumn("gap", F.col("need") - F.col("got")))
     off = F.abs(F.col("size") - F.col("gap"))
-    closing = materialize(drawn.where("rank IS NOT NULL AND NOT inside").where(off < F.col("gap"))
-                          .groupBy("src").agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("c"))
-                          .select(F.col("src").alias("_src"), F.struct("c.rank", "c.doc_id").alias("closing")), "mix-closing")
-    out = join_small(drawn, closing, same, "left")
-    extra = F.col("inside") | F.coalesce((F.col("rank") == F.col("closing.rank")) & F.col("doc_id").eqNullSafe(F.col("closing.doc_id")) & ~F.col("inside"), F.lit(False))
-    copies = F.col("whole") + F.when(extra, F.lit(1)).otherwise(F.lit(0))
+    closing = (drawn(join_small(known, cut, same)).where("rank IS NOT NULL AND NOT inside").where(off < F.col("gap"))
+               .groupBy(F.col("src").alias("_s3")).agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("c")))
+    cut = materialize(cut.join(closing, F.col("_src").eqNullSafe(F.col("_s3")), "left").drop("_s3")
+                      .withColumn("closing", F.struct("c.rank", "c.doc_id")).drop("c"), "mix-closing")
+    if rows:
+        own = sized(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        known = ranked(own, src, buckets)
+    out = drawn(join_small(known, cut, same, "left"))
+    closes = (F.col("rank") == F.col("closing.rank")) & F.col("doc_id").eqNullSafe(F.col("closing.doc_id")) & ~F.col("inside")
+    copies = F.col("whole") + F.when(F.col("inside") | F.coalesce(closes, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     return out.select("doc_id", "size", F.col("s_size").alias("source_size"), "target",
-                      (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+                      (F.col("size") * copies).alias("taken"), copies.alias("copies"), *(["row"] if rows else []))
 
 
 SQL = rf"""

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import prepare_workers
 
@@ -397,8 +398,8 @@ def detect(docs: DataFrame, crf: SemiCRF, id_col: str = "doc_id", text_col: str
     prepare_workers(spark)
     sent, key = spark.sparkContext.broadcast((crf.names, crf.w, crf.pair)), uuid.uuid4().hex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text"]
     new = [*(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", "n_added long", *(["redacted string"] * redact)]
+    schema = StructType([*(f for f in d.schema if f.name != "_text"), *StructType.fromDDL(", ".join(new)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(key, sent)
@@ -417,4 +418,4 @@ def detect(docs: DataFrame, crf: SemiCRF, id_col: str = "doc_id", text_col: str
                 pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())] + ([pa.array(red, pa.string())] if redact else [])
             yield pa.RecordBatch.from_arrays(cols, names=[n for i, n in enumerate(b.schema.names) if i != 1] + [x.split()[0] for x in new])
 
-    return d.mapInArrow(run, ", ".join(fields + new))
+    return d.mapInArrow(run, schema)
