@@ -171,15 +171,18 @@ def expected(words: list[str], counts: np.ndarray, lattice: Lattice, prob: np.nd
         # backward, relative to the forward logs: beta[j] * exp(logs[j]) / Z
         share = np.zeros((n, width + 1, g))  # probability that a segmentation has a boundary at j
         share[:, width] = counts[owner[at]]
+        pieces, uses = [], []
         for j in range(width, 0, -1):
             for k in range(1, min(j, longest) + 1):
-                p = ids[:, j - k, k - 1]
-                use = p <= lattice.n
-                if not use.any():
-                    continue
-                part = np.where(use[:, None], share[:, j] * np.exp(logs[:, j - k] - logs[:, j]) * prob[p], 0.0)
-                share[:, j - k] += part
-                np.add.at(out, p[use], part[use])
+                row = np.flatnonzero(ids[:, j - k, k - 1] <= lattice.n)
+                if len(row):
+                    p = ids[row, j - k, k - 1]
+                    part = share[row, j] * np.exp(logs[row, j - k] - logs[row, j]) * prob[p]
+                    share[row, j - k] += part
+                    pieces.append(p), uses.append(part)
+        p, part = np.concatenate(pieces), np.concatenate(uses)
+        for lang in range(g):
+            out[:, lang] += np.bincount(p, weights=part[:, lang], minlength=len(out))
     return out
 
 
