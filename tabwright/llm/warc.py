@@ -31,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,8 @@ def _header(head: bytes, name: bytes) -> str | None:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, ip, date (ISO), mime, head, payload, payload_digest of all records under ``path``."""
+    """page_id, url, ip, date (ISO), mime, head, bytes, squeezed (the payload under zstd, as it travels
+    between tasks), payload_digest of all records under ``path``."""
     prepare_workers(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +177,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:5]), pa.array(cols[5], pa.binary()),
-                 pa.array(cols[6], pa.binary()), pa.array(cols[7], pa.string())],
-                names=["page_id", "url", "ip", "date", "mime", "head", "payload", "payload_digest"])
+                 pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.string())],
+                names=["page_id", "url", "ip", "date", "mime", "head", "bytes", "squeezed", "payload_digest"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -186,8 +188,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     page = _header(head, b"X-Page-Id")
                     d = rec["Archive-date"].ljust(14, "0")
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    rows.append((int(page) if page else None, rec["URL"], rec["IP-address"], date, rec["Content-type"], head, payload, hashlib.sha256(payload).hexdigest()))
-                    size += len(payload)
+                    rows.append((int(page) if page else None, rec["URL"], rec["IP-address"], date, rec["Content-type"], head, len(payload), squeeze(payload), hashlib.sha256(payload).hexdigest()))
+                    size += len(rows[-1][7]) + 500
                     if size > 4 << 20:
                         yield flush(rows)
                         rows, size = [], 0
@@ -195,7 +197,15 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     yield flush(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parse, "page_id long, url string, ip string, date string, mime string, head binary, payload binary, payload_digest string")
+    return files.mapInArrow(parse, "page_id long, url string, ip string, date string, mime string, head binary, bytes long, squeezed binary, payload_digest string")
+
+
+def squeeze(payload: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(payload)
+
+
+def expand(squeezed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(squeezed)
 
 
 def record_id(url: str, date: str, page_id) -> str:
@@ -205,15 +215,14 @@ def record_id(url: str, date: str, page_id) -> str:
 
 def convert(records: DataFrame, path: str) -> None:
     """Write records of ``read_arc`` as WARC 1.1 under ``path``."""
-    digests = (records.where(F.octet_length("payload") >= MIN_REVISIT)
-               .groupBy("payload_digest").agg(F.min(F.struct("page_id", "url", "date")).alias("_first"),
-                                              F.min("page_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    digests = (records.where(F.col("bytes") >= MIN_REVISIT)
+               .groupBy("payload_digest").agg(F.min("page_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
                .where("_n > 1 AND _least IS NOT NULL")
                .select(F.col("payload_digest").alias("_digest"), "_least"))
     own = records.join(digests, F.col("payload_digest") == F.col("_digest"), "left")
     revisit = F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least"))
-    rows = own.select("page_id", "url", "ip", "date", "head", F.octet_length("payload").cast("long").alias("bytes"),
-                      F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", F.when(revisit, F.col("_least")).alias("refers_to"))
+    rows = own.select("page_id", "url", "ip", "date", "head", "bytes",
+                      F.when(~revisit, F.col("squeezed")).alias("squeezed"), "payload_digest", F.when(revisit, F.col("_least")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -227,9 +236,9 @@ def convert(records: DataFrame, path: str) -> None:
                 out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {batch.column('date')[0]}\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{path} {part}')}>\r\n"
                            f"Content-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info)
                 first = False
-            for page_id, url, ip, date, head, size, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, ip, date, head, size, squeezed, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 kind = "response" if refers is None else "revisit"
-                block = head + (payload or b"")
+                block = head + (expand(squeezed) if squeezed else b"")
                 lines = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id(url, date, page_id)}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
                          f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha256:{digest}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\n"]
                 if refers is not None:
