@@ -31,37 +31,45 @@ def sql_hash_unit(key_sql: str, seed: int) -> str:
     return f"CAST(('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || '|{seed}'), 1, 8)) AS BIGINT)"
 
 
+def _hex_float(c: Column) -> Column:
+    """All bits of a double as text (hexadecimal float; -0.0 and 0.0 differ)."""
+    return F.replace(F.format_string("%a", c.cast("double")), F.lit(".0p"), F.lit("p"))
+
+
 def canonical_string(df: DataFrame, name: str) -> Column:
-    """Engine-independent text form of one column (for content fingerprints)."""
+    """Engine-independent, lossless text form of one column (for content fingerprints)."""
     dt = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.floor(c.cast("double") * F.lit(1_000_000)).cast("bigint").cast("string")
+    c = F.col(f"`{name}`")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(c.isNotNull(), _hex_float(c))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("string")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("string")
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.FloatType, T.DoubleType)):
+        return F.array_join(F.transform(c, lambda x: F.when(x.isNotNull(), _hex_float(x)).otherwise("null")), ",")
     if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")
 
 
+def field_text(text: Column) -> Column:
+    """A field that cannot run into its neighbours: its length before it; ``n`` for null."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content fingerprint of a table (one row).
 
-    Each row hashes to a 32-bit value; the table fingerprint is the sum of
-    those values modulo a Mersenne prime together with the row count, so it
-    is computed by an ordinary partial/final aggregate (no sort, no single
-    task holding rows) and survives any partitioning.
+    Each row hashes to 128 bits; the two 64-bit halves are summed over all rows
+    modulo a Mersenne prime, so the fingerprint is an ordinary partial and
+    final aggregate (no sort, no single task holding rows).
     """
-    row_text = F.concat_ws("|", *[canonical_string(df, c) for c in df.columns])
-    h = F.conv(F.substring(F.md5(row_text), 1, 8), 16, 10).cast("decimal(38,0)")
-    agg = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("_s"))
-    fp = F.pmod(F.coalesce(F.col("_s"), F.lit(0).cast("decimal(38,0)")),
-                F.lit(FP_MODULUS).cast("decimal(38,0)")).cast("bigint")
-    return agg.select(
-        "n_rows",
-        fp.alias("content_hash"),
-        F.substring(F.sha2(F.concat(F.col("n_rows").cast("string"), F.lit(":"), fp.cast("string")), 256), 1, 16)
-        .alias("dataset_signature"),
-    )
+    digest = F.md5(F.concat(*[field_text(canonical_string(df, c)) for c in df.columns]))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)")
+    agg = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(half(1)).alias("_a"), F.sum(half(17)).alias("_b"))
+    zero, prime = F.lit(0).cast("decimal(38,0)"), F.lit(FP_MODULUS).cast("decimal(38,0)")
+    part = lambda c: F.pmod(F.coalesce(F.col(c), zero), prime).cast("bigint")
+    return agg.select("n_rows", part("_a").alias("content_hash"), part("_b").alias("content_hash_2")).select(
+        "*", F.substring(F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("content_hash").cast("string"),
+                                            F.col("content_hash_2").cast("string")), 256), 1, 16).alias("dataset_signature"))

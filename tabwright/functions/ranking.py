@@ -57,7 +57,3 @@ def hash_rank(df: DataFrame, key: str, seed: int, group: list[str] | None = None
         d = d.join(prefix, on=["_b"], how="inner")
     w2 = Window.partitionBy(*group, "_b").orderBy(hash_col, key)
     return d.withColumn(rank_col, F.col("_before") + F.row_number().over(w2)).drop("_b", "_before")
-
-
-def group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_gn"))

@@ -94,8 +94,10 @@ def _fill_expr(df: DataFrame, plan: CleanPlan) -> list:
 
 
 def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool = True,
-          materialize: str = "persist") -> CleanResult:
-    """``materialize="checkpoint"`` writes the de-duplicated rows to the shared
+          materialize: str = "persist", keys: list[str] | None = None) -> CleanResult:
+    """``keys`` (row identifiers) pass through unchanged: never clipped, filled or dropped.
+
+    ``materialize="checkpoint"`` writes the de-duplicated rows to the shared
     ``spark.checkpoint.dir`` (survives executor loss without recomputing the
     shuffle); the default persists them (MEMORY_AND_DISK)."""
     spark = df.sparkSession
@@ -126,9 +128,10 @@ def clean(df: DataFrame, target: str, options: Options = DEFAULT, persist: bool
                    "final_rows": n_kept}
     plan.missing_ratio = {c: (nulls[c] / n_kept if n_kept else float("nan")) for c in df.columns}
     # C4: pandas .mean() of an empty column is NaN and NaN > x is False -> nothing dropped
-    plan.dropped = [c for c in df.columns if c != target and n_kept and nulls[c] / n_kept > options.missing_column_threshold]
+    keys = set(keys or ())
+    plan.dropped = [c for c in df.columns if c != target and c not in keys and n_kept and nulls[c] / n_kept > options.missing_column_threshold]
     kept = kept.drop(*plan.dropped)
-    plan.numeric, plan.categorical = split_roles(kept, target, include_nested=True)
+    plan.numeric, plan.categorical = ([c for c in cols if c not in keys] for cols in split_roles(kept, target, include_nested=True))
     plan.counts["final_columns"] = len(kept.columns)
 
     # statistics rows 2/3: quartiles + median of every numeric column, mode of every categorical

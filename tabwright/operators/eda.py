@@ -22,9 +22,8 @@ def numeric_summary(df: DataFrame, columns: list[str], decimals: int = 4) -> Dat
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n_distinct) of categorical columns (nulls ignored)."""
-    row = df.agg(*[F.countDistinct(c).alias(f"_d{i}") for i, c in enumerate(columns)])
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").alias("n_distinct")) for i, c in enumerate(columns)])
-    return row.select(F.explode(arr).alias("e")).select("e.*")
+    from .profile import distinct_stats   # (column, 16 bytes) a value, instead of a row copy per column
+    return distinct_stats({"": df.select(*columns)}).select("column_name", "n_distinct")
 
 
 def target_distribution(df: DataFrame, target: str, decimals: int = 4) -> DataFrame:
@@ -75,8 +74,3 @@ def corr_long(df: DataFrame, columns: list[str], chunk: int = 2000) -> DataFrame
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("col_a", "col_b", F.when(F.isnan("r"), None).otherwise(F.col("r")).alias("r"))
-
-
-def high_correlation(corr: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with |r| above a threshold (D7 / F2 input)."""
-    return corr.where(F.abs("r") > threshold)

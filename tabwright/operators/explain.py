@@ -7,9 +7,9 @@ Every method is "make copies of rows, transform once, aggregate":
 * sampled permutation Shapley (I1, Strumbelj & Kononenko 2014) for any
   model: rows x permutations x (d + 1) coalition vectors built with array
   functions, one ``transform``, a lag inside each (row, permutation);
-* permutation importance (I3): every (feature, repeat) copy of the table is
-  re-paired with a hash-permuted partner row through two distributed hash
-  ranks (no window over the whole table), unioned, scored in one pass;
+* permutation importance (I3): the rows get one random order by a distributed
+  hash rank; every (feature, repeat) turns that order by its own step and
+  joins the one value it swaps, and all copies are scored in one pass;
 * partial dependence (I6): each row is exploded over a bounded grid
   (literal array, 100 points) instead of a join;
 * surrogate ridge (I7) and the error table (I8).
@@ -17,6 +17,7 @@ Every method is "make copies of rows, transform once, aggregate":
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -104,36 +105,41 @@ def native_importance(model, names: list[str]) -> list[tuple[str, float]]:
 
 
 # ------------------------------------------------------------------ I3
-def permutation_copies(df: DataFrame, key: str, features: list[str], repeats: int, seed: int) -> DataFrame:
-    """All (feature, repeat) copies of ``df`` with ``feature`` replaced by the value
-    of a hash-permuted partner row: the row with rank i under hash A takes the
-    values of the row with rank i under hash B, ranks per (feature, repeat)."""
-    tags = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                               for f in features for r in range(repeats)]))
-    n_copies = df.count() * len(features) * repeats      # sizes the rank buckets without counting the copies
-    x = df.select("*", tags.alias("_t")).select("*", "_t.feature", "_t.rep").drop("_t")
-    tag = F.concat_ws(":", F.col(key).cast("string"), F.col("feature"), F.col("rep").cast("string"))
-    x = x.withColumn("_pa", F.concat(tag, F.lit(":a"))).withColumn("_pb", F.concat(tag, F.lit(":b")))
-    a = hash_rank(x, "_pa", seed, group=["feature", "rep"], rank_col="_r", hash_col="_ha",
-                  n_rows=n_copies).drop("_gn", "_ha", "_pb")
-    b = hash_rank(x.select("feature", "rep", "_pb", *[F.col(f).alias(f"_src_{f}") for f in features]),
-                  "_pb", seed, group=["feature", "rep"], rank_col="_r", hash_col="_hb", n_rows=n_copies).drop("_gn", "_hb", "_pb")
-    j = a.join(b, ["feature", "rep", "_r"])
-    cols = [F.when(F.col("feature") == f, F.col(f"_src_{f}")).otherwise(F.col(f)).alias(f) if f in features else F.col(f)
-            for f in df.columns]
+def rotation(feature: str, rep: int, n: int, seed: int) -> int:
+    """How far (1 .. n - 1) the ranks turn for one (feature, repeat)."""
+    return 1 + int(hashlib.md5(f"{feature}:{rep}:{seed}".encode()).hexdigest()[:12], 16) % max(1, n - 1)
+
+
+def permutation_copies(ranked: DataFrame, n: int, features: list[str], repeats: int, seed: int) -> DataFrame:
+    """All (feature, repeat) copies of ``ranked`` (columns and ``_r``, a random order
+    1 .. n) with ``feature`` replaced by the value of another row: the row of rank i
+    takes it from rank i + rotation, around the end.
+
+    The values travel to the rows: a narrow side of (rank, tag, value) joins the
+    rows once; no copy of a whole row is shuffled."""
+    tags = [(f, r, rotation(f, r, n, seed)) for f in features for r in range(repeats)]
+    spread = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.lit(s).cast("long").alias("s")) for f, r, s in tags]))
+    giver = ranked.select("_r", *[F.col(f).alias(f"_src_{f}") for f in features], spread.alias("t"))
+    giver = giver.select((F.pmod(F.col("_r") - 1 - F.col("t.s"), F.lit(n)) + 1).alias("_taker"), F.col("t.feature").alias("feature"), F.col("t.rep").alias("rep"),
+                         *[F.when(F.col("t.feature") == f, F.col(f"_src_{f}")).alias(f"_src_{f}") for f in features])
+    j = ranked.join(giver, F.col("_r") == F.col("_taker"))
+    cols = [F.when(F.col("feature") == c, F.col(f"_src_{c}")).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+            for c in ranked.columns if c != "_r"]
     return j.select(*cols, "feature", "rep")
 
 
 def permutation_importance(df: DataFrame, key: str, features: list[str], score_fn: Callable[[DataFrame, list[str]], DataFrame],
                            repeats: int = 5, seed: int = 42) -> DataFrame:
-    """I3 -> (feature, importance, std): mean drop of the score over repeats.
+    """I3 -> (feature, importance, std): mean drop of the score over repeats; a row per feature.
 
     ``score_fn(frame, group_cols)`` returns (group_cols..., score) - one pass."""
-    base = score_fn(df, []).collect()[0]["score"]
-    copies = permutation_copies(df, key, features, repeats, seed)
-    per = score_fn(copies, ["feature", "rep"])
-    return per.groupBy("feature").agg((F.lit(float(base)) - F.avg("score")).alias("importance"),
-                                      F.stddev_pop("score").alias("std"))
+    n = df.count()
+    ranked = hash_rank(df, key, seed, rank_col="_r", n_rows=n).drop("_gn", "_h").persist()
+    base = score_fn(ranked.drop("_r"), []).collect()[0]["score"]
+    per = score_fn(permutation_copies(ranked, n, features, repeats, seed), ["feature", "rep"])
+    rows = per.groupBy("feature").agg((F.lit(float(base)) - F.avg("score")).alias("importance"), F.stddev_pop("score").alias("std")).collect()
+    ranked.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], "feature string, importance double, std double")
 
 
 def importance_topk(parts: dict[str, DataFrame], k: int = 10) -> DataFrame:
@@ -152,17 +158,14 @@ def partial_dependence(df: DataFrame, features: list[str], predict: Callable[[Da
     """(feature, grid_index, grid_value, average_prediction) on a grid between the
     5th and 95th percentile (linear interpolation) of each feature."""
     q = {(r["column_name"], r["prob"]): r["value"] for r in column_quantiles(df, features, [0.05, 0.95], exact=exact).collect()}
-    out = None
-    for f in features:
-        lo, hi = q[(f, 0.05)], q[(f, 0.95)]
-        grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-        g = F.explode(F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(float(v)).alias("gv")) for i, v in enumerate(grid)]))
-        x = df.select("*", g.alias("_g")).withColumn(f, F.col("_g.gv"))
-        x = x.withColumn("_gi", F.col("_g.gi")).drop("_g")
-        p = predict(x).groupBy("_gi").agg(F.first(f).alias("grid_value"), F.avg("prediction").alias("average_prediction"))
-        p = p.select(F.lit(f).alias("feature"), F.col("_gi").alias("grid_index"), "grid_value", "average_prediction")
-        out = p if out is None else out.unionByName(p)
-    return out
+    points_of = [(f, i, q[(f, 0.05)] + (q[(f, 0.95)] - q[(f, 0.05)]) * i / (points - 1)) for f in features if (f, 0.05) in q for i in range(points)]
+    if not points_of:
+        return df.sparkSession.createDataFrame([], "feature string, grid_index int, grid_value double, average_prediction double")
+    g = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for f, i, v in points_of])).alias("_g")
+    x = df.select("*", g)
+    x = x.withColumns({f: F.when(F.col("_g.f") == f, F.col("_g.v")).otherwise(F.col(f)) for f in features})
+    return predict(x).groupBy(F.col("_g.f").alias("feature"), F.col("_g.i").alias("grid_index")).agg(
+        F.first("_g.v").alias("grid_value"), F.avg("prediction").alias("average_prediction"))
 
 
 # ------------------------------------------------------------------ I7

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """H2 -> one row (accuracy)."""
-    return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
+    """H2 -> one row (accuracy); null is a class of its own, here and below."""
+    return df.agg(F.avg(F.col(label).eqNullSafe(F.col(prediction)).cast("double")).alias("accuracy"))
 
 
 def class_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -26,12 +26,13 @@ def class_counts(df: DataFrame, label: str = "label", prediction: str = "predict
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(class, tp, n_pred, n_actual, precision, recall, f1) over the union of labels."""
     cc = class_counts(df, label, prediction)
-    actual = cc.groupBy(F.col("actual").alias("class")).agg(F.sum("n").alias("n_actual"),
-                                                            F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    pred = cc.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("n_pred"))
-    j = actual.join(pred, "class", "full_outer").select(
-        "class", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("n_pred", F.lit(0)).alias("n_pred"),
-        F.coalesce("n_actual", F.lit(0)).alias("n_actual"))
+    # each cell counts for its actual and for its predicted class: one aggregate, nulls included
+    side = F.explode(F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("a"), F.lit(0).cast("long").alias("p"),
+                 F.when(F.col("actual").eqNullSafe(F.col("predicted")), F.col("n")).otherwise(F.lit(0)).alias("t")),
+        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("a"), F.col("n").alias("p"), F.lit(0).cast("long").alias("t")))).alias("s")
+    j = cc.select(side).groupBy(F.col("s.class").alias("class")).agg(
+        F.sum("s.t").alias("tp"), F.sum("s.p").alias("n_pred"), F.sum("s.a").alias("n_actual"))
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("n_actual")), F.lit(0.0))
     j = j.select("*", p.alias("precision"), r.alias("recall"))
@@ -53,9 +54,11 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
     grid and left-joined to the observed cells.
     """
     cc = class_counts(df, label, prediction)
-    labels = cc.select(F.explode(F.array("actual", "predicted")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("ls"))
-    grid = labels.select(F.explode("ls").alias("actual"), "ls").select("actual", F.explode("ls").alias("predicted"))
-    return grid.join(cc, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    # structs, since collect_set leaves out bare nulls
+    labels = cc.select(F.explode(F.array(F.struct(F.col("actual").alias("c")), F.struct(F.col("predicted").alias("c")))).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("ls"))
+    grid = labels.select(F.explode("ls").alias("a"), "ls").select(F.col("a.c").alias("_a"), F.explode("ls").alias("p")).select("_a", F.col("p.c").alias("_p"))
+    return grid.join(cc, F.col("_a").eqNullSafe(F.col("actual")) & F.col("_p").eqNullSafe(F.col("predicted")), "left").select(
+        F.col("_a").alias("actual"), F.col("_p").alias("predicted"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def auc(df: DataFrame, label: str, score: str, positive=1, group: list[str] | None = None,

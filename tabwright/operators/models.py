@@ -1,16 +1,12 @@
 """Candidate learners (G1-G6) and their search spaces (G12) on Spark ML.
 
-Mapping of the reference's estimators (same names are kept as candidate
-names): logistic regression with L2 ``C`` -> ``regParam = 1 / (C * n)``;
-random forest / decision tree (unbounded depth -> Spark's maximum 30);
-support-vector classifier -> linear margin ``LinearSVC`` (``OneVsRest`` for
-more than two classes); support-vector regressor -> Huber linear fit;
-boosters -> ``GBTClassifier`` / ``GBTRegressor`` (binary only, so
-``OneVsRest`` for multiclass).
-
-Presets: ``reference`` uses the reference sizes (300 trees, depth 30, 250
-boosting rounds); ``fast`` (default) uses 10x fewer trees / rounds and
-shallower trees so the comparison fits in interactive time.
+Every learner has the reference's size (trees, rounds, iterations).  Mapping:
+logistic regression with L2 ``C`` -> ``regParam = 1 / (C * n)``; unbounded
+depth -> Spark's maximum 30; support-vector classifier -> linear margin
+``LinearSVC`` (``OneVsRest`` for more than two classes); support-vector
+regressor -> Huber linear fit; the three boosters -> ``GBTClassifier`` /
+``GBTRegressor`` (binary only, so ``OneVsRest`` for multiclass), one grown by
+levels, one by leaves (31 leaves -> depth 5) and one of symmetric trees.
 """
 
 from __future__ import annotations
@@ -25,15 +21,41 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 
 from ..options import DEFAULT, Options
 
-MAX_DEPTH = 30  # Spark's limit; stands for "unbounded"
+MAX_DEPTH = 30  # Spark's limit; stands for "unbounded" (None)
 
+# --- fixed values: candidates, sizes and search spaces of the reference ---
 CLASSIFIERS = ("Logistic Regression", "Random Forest", "SVM", "Decision Tree")
 REGRESSORS = ("Linear Regression", "Random Forest Regressor", "SVR", "Decision Tree Regressor")
-BOOSTERS = {"classification": "Gradient Boosting", "regression": "Gradient Boosting Regressor"}
-
-
-def _size(options: Options, reference: int, fast: int) -> int:
-    return reference if options.model_preset == "reference" else fast
+LOGISTIC_ITERATIONS = 3000
+FOREST_TREES = 300
+BOOSTER_ROUNDS = 250
+BOOSTER_STEP = 0.08
+BOOSTER_DEPTH = 6
+BOOSTER_LEAVES = 31
+BOOSTER_SAMPLE = 0.85
+SPACES = {
+    "Logistic Regression": {"C": [0.1, 1.0, 10.0], "solver": ["lbfgs", "saga"]},
+    "Random Forest": {"n_estimators": [200, 400], "max_depth": [None, 10, 20], "min_samples_split": [2, 5], "min_samples_leaf": [1, 2]},
+    "SVM": {"C": [0.5, 1.0, 2.0], "gamma": ["scale", "auto"], "kernel": ["rbf", "poly"]},
+    "Decision Tree": {"max_depth": [None, 5, 10, 20], "min_samples_split": [2, 5, 10]},
+    "Level-wise Boosting": {"n_estimators": [150, 250, 350], "max_depth": [4, 6, 8], "learning_rate": [0.03, 0.05, 0.1],
+                            "subsample": [0.8, 0.9, 1.0], "colsample_bytree": [0.8, 0.9, 1.0]},
+    "Leaf-wise Boosting": {"n_estimators": [150, 250, 350], "learning_rate": [0.03, 0.05, 0.1], "num_leaves": [15, 31, 63], "max_depth": [-1, 10, 20]},
+    "Symmetric Boosting": {"iterations": [150, 250, 350], "depth": [4, 6, 8], "learning_rate": [0.03, 0.05, 0.1]},
+    "Linear Regression": {},
+}
+MAX_GRID = 20
+# --- end of fixed values ---
+
+BOOSTERS = ("Level-wise Boosting", "Leaf-wise Boosting", "Symmetric Boosting")
+SVM_ITERATIONS = 1000
+
+
+def family(name: str) -> str:
+    """The candidate's name in ``SPACES`` (regressors share their classifier's space)."""
+    if name == "SVR":
+        return "SVM"
+    return name if name in SPACES else name.removesuffix(" Regressor")
 
 
 def make_estimator(name: str, n_train: int, n_classes: int = 2, options: Options = DEFAULT, params: dict | None = None,
@@ -42,88 +64,97 @@ def make_estimator(name: str, n_train: int, n_classes: int = 2, options: Options
     p = dict(params or {})
     n = max(1, n_train)
     seed = options.seed
-    if name == "Logistic Regression":
+    cols = dict(featuresCol=features, labelCol=label)
+    regressor = name.endswith("Regressor")
+    kind = family(name)
+    if name == "Linear Regression":
+        return LinearRegression(**cols, regParam=0.0, solver="normal", **p)
+    if kind == "Logistic Regression":
         c = p.pop("C", 1.0)
-        return LogisticRegression(featuresCol=features, labelCol=label, maxIter=_size(options, 3000, 200),
-                                  regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-4, **p)
-    if name in ("Random Forest", "Random Forest Regressor"):
-        cls = RandomForestClassifier if name == "Random Forest" else RandomForestRegressor
-        kw = dict(numTrees=_size(options, 300, 30), maxDepth=_size(options, MAX_DEPTH, 8),
-                  featureSubsetStrategy="sqrt" if name == "Random Forest" else "all", seed=seed)
-        kw.update(p)
-        return cls(featuresCol=features, labelCol=label, **kw)
-    if name in ("Decision Tree", "Decision Tree Regressor"):
-        cls = DecisionTreeClassifier if name == "Decision Tree" else DecisionTreeRegressor
-        kw = dict(maxDepth=_size(options, MAX_DEPTH, 10), seed=seed)
-        kw.update(p)
-        return cls(featuresCol=features, labelCol=label, **kw)
+        return LogisticRegression(**cols, maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / (c * n), elasticNetParam=0.0,
+                                  standardization=False, tol=1e-4, **p)
+    if kind == "Random Forest":
+        kw = dict(numTrees=FOREST_TREES, maxDepth=MAX_DEPTH, featureSubsetStrategy="all" if regressor else "sqrt", seed=seed) | p
+        return (RandomForestRegressor if regressor else RandomForestClassifier)(**cols, **kw)
+    if kind == "Decision Tree":
+        return (DecisionTreeRegressor if regressor else DecisionTreeClassifier)(**cols, **(dict(maxDepth=MAX_DEPTH, seed=seed) | p))
     if name == "SVM":
         c = p.pop("C", 1.0)
-        svc = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * n), maxIter=_size(options, 1000, 100),
-                        tol=1e-4, standardization=False, **p)
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=features, labelCol=label)
+        svc = LinearSVC(**cols, regParam=1.0 / (c * n), maxIter=SVM_ITERATIONS, tol=1e-4, standardization=False, **p)
+        return svc if n_classes <= 2 else OneVsRest(classifier=svc, **cols)
     if name == "SVR":
         c = p.pop("C", 1.0)
-        return LinearRegression(featuresCol=features, labelCol=label, loss="huber", regParam=1.0 / (c * n),
-                                elasticNetParam=0.0, maxIter=_size(options, 1000, 100), tol=1e-4, **p)
-    if name == "Linear Regression":
-        return LinearRegression(featuresCol=features, labelCol=label, regParam=0.0, solver="normal", **p)
-    if name in ("Gradient Boosting", "Gradient Boosting Regressor"):
-        kw = dict(maxIter=_size(options, 250, 25), maxDepth=6, stepSize=0.08, subsamplingRate=0.85,
-                  featureSubsetStrategy="0.85", seed=seed)
-        kw.update(p)
-        if name == "Gradient Boosting Regressor":
-            return GBTRegressor(featuresCol=features, labelCol=label, **kw)
-        gbt = GBTClassifier(featuresCol=features, labelCol=label, **kw)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=features, labelCol=label)
+        return LinearRegression(**cols, loss="huber", regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=SVM_ITERATIONS, tol=1e-4, **p)
+    if kind in BOOSTERS:
+        kw = dict(maxIter=BOOSTER_ROUNDS, stepSize=BOOSTER_STEP, maxDepth=BOOSTER_DEPTH, seed=seed, cacheNodeIds=True)
+        if kind == "Level-wise Boosting":
+            kw |= dict(subsamplingRate=BOOSTER_SAMPLE, featureSubsetStrategy=str(BOOSTER_SAMPLE))
+        if kind == "Leaf-wise Boosting":
+            kw |= dict(maxDepth=leaf_depth(BOOSTER_LEAVES))
+        kw |= p
+        if regressor:
+            return GBTRegressor(**cols, **kw)
+        gbt = GBTClassifier(**cols, **kw)
+        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **cols)
     raise ValueError(f"unknown candidate {name}")
 
 
-def candidates(task_type: str, include_boosters: bool = False) -> list[str]:
-    names = list(CLASSIFIERS if task_type == "classification" else REGRESSORS)
-    if include_boosters:
-        names.append(BOOSTERS[task_type])
-    return names
+def leaf_depth(leaves: int) -> int:
+    """Depth of a level-wise tree with room for so many leaves."""
+    return math.ceil(math.log2(leaves + 1))
 
 
-def fallback_candidate(task_type: str) -> str:
-    return "Random Forest" if task_type == "classification" else "Random Forest Regressor"
+def candidates(task_type: str, include_boosters: bool = True) -> list[str]:
+    """Reference order; the boosters take part unless left out explicitly."""
+    if task_type == "classification":
+        return [*CLASSIFIERS, *(BOOSTERS if include_boosters else ())]
+    return [*REGRESSORS, *(f"{b} Regressor" for b in BOOSTERS if include_boosters)]
 
 
-def parameter_grid(name: str, options: Options = DEFAULT) -> dict[str, list]:
-    """Search spaces in Spark terms (see README for the mapping)."""
-    s = 1 if options.model_preset == "reference" else 10
-    if name == "Logistic Regression":
-        return {"C": [0.1, 1.0, 10.0]}
-    if name in ("Random Forest", "Random Forest Regressor"):
-        return {"numTrees": [200 // s, 400 // s], "maxDepth": [MAX_DEPTH if s == 1 else 12, 10, 20] if s == 1 else [12, 5, 8],
-                "minInstancesPerNode": [1, 2]}
-    if name in ("SVM", "SVR"):
-        return {"C": [0.5, 1.0, 2.0]}
-    if name in ("Decision Tree", "Decision Tree Regressor"):
-        return {"maxDepth": [MAX_DEPTH, 5, 10, 20], "minInstancesPerNode": [math.ceil(x / 2) for x in (2, 5, 10)]}
-    if name in ("Gradient Boosting", "Gradient Boosting Regressor"):
-        return {"maxIter": [150 // s, 250 // s, 350 // s], "maxDepth": [4, 6, 8], "stepSize": [0.03, 0.05, 0.1],
-                "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"]}
-    return {}
+def fallback_candidate(task_type: str) -> str:
+    return "Random Forest" if task_type == "classification" else "Random Forest Regressor"
 
 
-def grid_size(grid: dict) -> int:
-    n = 1
-    for v in grid.values():
-        n *= max(1, len(v))
-    return n
+def combinations(name: str) -> list[dict]:
+    """All points of the reference's search space, in its own terms."""
+    space = SPACES[family(name)]
+    return [dict(zip(space, vals)) for vals in product(*space.values())] if space else []
+
+
+def to_spark(name: str, point: dict) -> dict:
+    """A point in Spark's terms.  ``solver``, ``gamma`` and ``kernel`` have no counterpart;
+    a minimum of s rows to split a node becomes ceil(s / 2) rows a child."""
+    kind = family(name)
+    if kind in ("Logistic Regression", "SVM"):
+        return {"C": point["C"]}
+    if kind in ("Random Forest", "Decision Tree"):
+        out = {"maxDepth": point["max_depth"] or MAX_DEPTH,
+               "minInstancesPerNode": max(point.get("min_samples_leaf", 1), math.ceil(point["min_samples_split"] / 2))}
+        return ({"numTrees": point["n_estimators"]} if kind == "Random Forest" else {}) | out
+    out = {"maxIter": point.get("n_estimators", point.get("iterations")), "stepSize": point["learning_rate"]}
+    if kind == "Leaf-wise Boosting":
+        bound = point["max_depth"] if point["max_depth"] > 0 else MAX_DEPTH
+        return out | {"maxDepth": min(bound, leaf_depth(point["num_leaves"]))}
+    out["maxDepth"] = point.get("max_depth", point.get("depth"))
+    if kind == "Level-wise Boosting":
+        out |= {"subsamplingRate": point["subsample"], "featureSubsetStrategy": str(point["colsample_bytree"])}
+    return out
 
 
 def search_space(name: str, options: Options = DEFAULT) -> tuple[str, list[dict]]:
-    """(strategy, param maps): grid when <= 20 combinations and not a booster,
-    else ``min(max_tuning_iterations, total)`` distinct seeded samples."""
-    grid = parameter_grid(name, options)
-    if not grid:
+    """(strategy, param maps).  The reference's own number of combinations decides: a grid
+    up to 20 of them and not a booster, else ``min(max_tuning_iterations, total)``
+    seeded samples.  Points that are one in Spark's terms are fitted once."""
+    points = combinations(name)
+    if not points:
         return "none", []
-    keys = list(grid)
-    combos = [dict(zip(keys, vals)) for vals in product(*[grid[k] for k in keys])]
-    if len(combos) > 20 or name.startswith("Gradient Boosting"):
-        k = min(options.max_tuning_iterations, max(1, len(combos)))
-        return "random_search", random.Random(options.seed).sample(combos, k)
-    return "grid_search", combos
+    strategy = "grid_search"
+    if len(points) > MAX_GRID or family(name) in BOOSTERS:
+        strategy = "random_search"
+        points = random.Random(options.seed).sample(points, min(options.max_tuning_iterations, len(points)))
+    maps: list[dict] = []
+    for point in points:
+        m = to_spark(name, point)
+        if m not in maps:
+            maps.append(m)
+    return strategy, maps

@@ -1,8 +1,8 @@
 """Dataset understanding (B1-B17) as a catalog job over any number of tables.
 
 Inputs are a *catalog* (one row per column of every table, built from the
-schemas - metadata only) and the long statistics table produced by one
-aggregate per table (``stats.column_stats``), unioned into one job.  Every
+schemas - metadata only), null and constant counts (one partial aggregate per
+table), target value counts and row digests.  Every
 rule of the reference (target hints, task type, PII / sensitive names,
 domain and industry, quality and risk scores, specialist tags) is then a
 column expression or a small aggregate over those two tables, so profiling
@@ -11,11 +11,14 @@ a whole lake is one Spark job, not one pass per column or per table.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
+from ..functions.hashing import field_text
 from ..options import DEFAULT, Options
 from .stats import column_stats, type_family
 
@@ -30,56 +33,89 @@ def catalog_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _canonical(df: DataFrame, name: str):
-    """Text form that is equal exactly when Spark's grouping equality holds
+    """A value that is equal exactly when Spark's grouping equality holds
     (-0.0 folds into 0.0, NaN is one value, nested values as JSON)."""
     dt = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return (c + F.lit(0.0)).cast("string")
+    if isinstance(dt, T.BinaryType):
+        return F.base64(c)
     if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")
 
 
-def lake_stats(tables: dict[str, DataFrame], exact: bool = True, moments: bool = False) -> DataFrame:
-    """(table_name, column_name, metric, value) for all tables: rows, n_null, n_distinct.
+def digest_columns(text) -> list:
+    """A 128-bit digest of a text as two longs (16 bytes where the text may be any length)."""
+    hexed = F.md5(text)
+    half = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
+    return [half(1).alias("h1"), half(17).alias("h2")]
 
-    Exact: every table is exploded to (table, column, value) and two group-bys
-    (the first partially aggregated map-side) give null and distinct counts
-    for the whole lake - two shuffles however many tables and columns.
-    With ``exact=False`` or ``moments=True`` it is one sketch aggregate per table.
-    """
-    if not exact or moments:
-        parts = [column_stats(df, table=t, exact=exact, moments=moments) for t, df in tables.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    long = None
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def null_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, n_rows, n_null, constant): one partial aggregate per table.
+
+    ``constant``: at most one distinct value (nulls aside), as minimum = maximum.
+    No value is shuffled, only a row of counts per task."""
+    parts = []
     for t, df in tables.items():
-        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), _canonical(df, c).alias("v")) for c in df.columns])
-        x = df.select(F.lit(t).alias("table_name"), F.explode(arr).alias("_e")).select("table_name", "_e.column_name", "_e.v")
-        long = x if long is None else long.unionByName(x)
-    per_value = long.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("_c"))
-    per_col = per_value.groupBy("table_name", "column_name").agg(
-        F.sum("_c").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("_c")).otherwise(0)).alias("n_null"),
-        F.count("v").alias("n_distinct"))
-    metrics = F.array(F.struct(F.lit("n_null").alias("metric"), F.col("n_null").cast("double").alias("value")),
-                      F.struct(F.lit("n_distinct").alias("metric"), F.col("n_distinct").cast("double").alias("value")))
-    cols = per_col.select("table_name", "column_name", F.explode(metrics).alias("_m")) \
-        .select("table_name", "column_name", "_m.metric", "_m.value")
-    rows = per_col.groupBy("table_name").agg(F.max("rows").cast("double").alias("value")) \
-        .select("table_name", F.lit("*").alias("column_name"), F.lit("rows").alias("metric"), "value")
-    return cols.unionByName(rows)
-
-
-def stats_wide(stats: DataFrame) -> DataFrame:
-    """(table_name, column_name, n_null, n_distinct) + table rows as n_rows."""
-    per_col = stats.where(F.col("column_name") != "*").groupBy("table_name", "column_name").agg(
-        F.max(F.when(F.col("metric") == "n_null", F.col("value"))).cast("long").alias("n_null"),
-        F.max(F.when(F.col("metric") == "n_distinct", F.col("value"))).cast("long").alias("n_distinct"))
-    rows = stats.where(F.col("metric") == "rows").select("table_name", F.col("value").cast("long").alias("n_rows"))
-    return per_col.join(rows, "table_name")
+        aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
+        for i, f in enumerate(df.schema.fields):
+            c = F.col(f"`{f.name}`")
+            same = _canonical(df, f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
+            aggs += [F.count(c).alias(f"_c{i}"), F.coalesce(F.min(same) == F.max(same), F.lit(True)).alias(f"_k{i}")]
+            entries.append(F.struct(F.lit(f.name).alias("column_name"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null"), F.col(f"_k{i}").alias("constant")))
+        parts.append(df.agg(*aggs).select(F.lit(t).alias("table_name"), F.col("_rows").alias("n_rows"), F.explode(F.array(*entries)).alias("e"))
+                     .select("table_name", "e.column_name", "n_rows", "e.n_null", "e.constant"))
+    return _union(parts)
+
+
+def distinct_stats(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table_name, column_name, n_distinct), exact up to 128-bit digests, of all or of the named columns.
+
+    A value travels as (column number, 16 bytes), once per task and value; the
+    second aggregate counts."""
+    names, long = [], []
+    for t, df in tables.items():
+        wanted = df.columns if columns is None else columns.get(t, [])
+        if not wanted:
+            continue
+        entries = []
+        for c in wanted:
+            entries.append(F.struct(F.lit(len(names)).alias("col"), _canonical(df, c).alias("v")))
+            names.append((len(names), t, c))
+        x = df.select(F.explode(F.array(*entries)).alias("e")).where("e.v IS NOT NULL")
+        long.append(x.select(F.col("e.col").alias("col"), *digest_columns(F.col("e.v"))))
+    spark = next(iter(tables.values())).sparkSession
+    known = spark.createDataFrame(names, "col int, table_name string, column_name string")   # one row per column
+    counts = _union(long).groupBy("col", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return known.join(counts, "col", "left").select("table_name", "column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+def lake_stats(tables: dict[str, DataFrame], exact: bool = True, moments: bool = False) -> DataFrame:
+    """(table_name, column_name, metric, value) for all tables: rows, n_null, n_distinct."""
+    if not exact or moments:
+        return _union([column_stats(df, table=t, exact=exact, moments=moments) for t, df in tables.items()])
+    w = stats_wide(tables)
+    cols = w.select("table_name", "column_name", F.explode(F.array(
+        F.struct(F.lit("n_null").alias("metric"), F.col("n_null").cast("double").alias("value")),
+        F.struct(F.lit("n_distinct").alias("metric"), F.col("n_distinct").cast("double").alias("value")))).alias("m"))
+    rows = w.groupBy("table_name").agg(F.max("n_rows").cast("double").alias("value"))
+    return cols.select("table_name", "column_name", "m.metric", "m.value").unionByName(
+        rows.select("table_name", F.lit("*").alias("column_name"), F.lit("rows").alias("metric"), "value"))
+
+
+def stats_wide(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, n_rows, n_null, n_distinct)."""
+    return null_stats(tables).drop("constant").join(distinct_stats(tables), ["table_name", "column_name"])
 
 
 # ---------------------------------------------------------------- B2, B1
@@ -126,11 +162,13 @@ def task_type_expr(family, n_nonnull, n_distinct, max_distinct: int = 20):
             .otherwise("regression"))
 
 
-def target_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame) -> DataFrame:
-    """(table_name, target, family, n_rows, n_null, n_distinct, task_type, problem_type)."""
-    w = stats_wide(stats)
-    t = targets.join(catalog.select("table_name", F.col("column_name").alias("target"), "family"), ["table_name", "target"]) \
-        .join(w.withColumnRenamed("column_name", "target"), ["table_name", "target"])
+def target_profile(catalog: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(table_name, target, family, n_rows, n_null, n_distinct, task_type, problem_type).
+
+    Only the target columns are read, by their value counts."""
+    w = counts.groupBy("table_name").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+                                         F.count("value").alias("n_distinct"))
+    t = targets.join(catalog.select("table_name", F.col("column_name").alias("target"), "family"), ["table_name", "target"]).join(w, "table_name")
     nn = F.col("n_rows") - F.col("n_null")
     return t.select("table_name", "target", "family", "n_rows", "n_null", "n_distinct",
                     task_type_expr(F.col("family"), nn, F.col("n_distinct"), DEFAULT.classification_max_distinct).alias("task_type"),
@@ -141,7 +179,7 @@ def target_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame) ->
 # ---------------------------------------------------------------- B6
 def target_counts(tables: dict[str, DataFrame], targets: dict[str, str]) -> DataFrame:
     """(table_name, value string, n): value counts of each table's target, nulls included."""
-    parts = [df.groupBy(F.col(targets[t]).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    parts = [df.groupBy(_canonical(df, targets[t]).alias("value")).agg(F.count(F.lit(1)).alias("n"))
              .select(F.lit(t).alias("table_name"), "value", "n") for t, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -189,33 +227,18 @@ def target_moments(tables: dict[str, DataFrame], targets: dict[str, str]) -> Dat
 def duplicate_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_duplicates); first occurrences not counted.
 
-    Exact, without shuffling whole rows: phase 1 is ONE group-by over an
-    8-byte hash of every row of every table (a tiny shuffle); only tables in
-    which some hash repeats run phase 2, which groups just the rows with a
-    repeated hash by their full content (partially aggregated, so a row
-    repeated a billion times collapses map-side).
-    """
-    spark = next(iter(tables.values())).sparkSession
-    hashed = None
-    for t, df in tables.items():
-        x = df.select(F.lit(t).alias("table_name"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
-        hashed = x if hashed is None else hashed.unionByName(x)
-    by_hash = hashed.groupBy("table_name", "_h").agg(F.count(F.lit(1)).alias("_c")).persist()
-    summary = {r["table_name"]: (r["n_rows"], r["n_multi"]) for r in by_hash.groupBy("table_name").agg(
-        F.sum("_c").alias("n_rows"), F.count(F.when(F.col("_c") > 1, 1)).alias("n_multi")).collect()}
-    rows = []
+    One aggregate for all tables over a 256-bit digest of each row (fields
+    null-marked and length-marked): a row repeated a billion times is one row per
+    task before the shuffle, and 32 bytes of it travel."""
+    parts = []
     for t, df in tables.items():
-        n_rows, n_multi = summary.get(t, (0, 0))
-        n_dup = 0
-        if n_multi:
-            multi = by_hash.where((F.col("table_name") == t) & (F.col("_c") > 1)).select("_h")
-            hd = df.select("*", F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
-            cand = hd.join(multi, "_h", "left_semi")
-            n_dup = cand.groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_c")) \
-                .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("d")).collect()[0]["d"]
-        rows.append((t, int(n_rows or 0), int(n_dup)))
-    by_hash.unpersist()
-    return spark.createDataFrame(rows, "table_name string, n_rows long, n_duplicates long")
+        fields = [field_text(_canonical(df, c)) for c in df.columns]
+        parts.append(df.select(F.lit(t).alias("table_name"), F.unhex(F.sha2(F.concat(*fields), 256)).alias("d")))
+    rows = _union(parts).groupBy("table_name", "d").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.groupBy("table_name").agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.count(F.lit(1))).alias("n_duplicates"))
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(t,) for t in tables], "table_name string")
+    return names.join(found, "table_name", "left").select("table_name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_duplicates")])
 
 
 # ---------------------------------------------------------------- B8-B11
@@ -230,11 +253,15 @@ def name_flags(catalog: DataFrame) -> DataFrame:
         ((n == "id") | n.endswith("_id")).alias("id_like"))
 
 
-def _ordered_list(df: DataFrame, flag: str, alias: str) -> DataFrame:
-    """Per table, the flagged column names in table order (bounded by the schema width)."""
-    return df.groupBy("table_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("ordinal", "column_name")))),
-                    lambda s: s["column_name"]).alias(alias))
+def duplicate_patterns(catalog: DataFrame, dups: DataFrame) -> DataFrame:
+    """(table_name, id_columns, duplicate_patterns), one row per table with all its labels."""
+    flags = name_flags(catalog).where("id_like")
+    ids = flags.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))),
+                                                                   lambda s: s["column_name"]), ",").alias("id_columns"))
+    labels = F.array_join(F.array_compact(F.array(
+        F.when(F.col("n_duplicates") > 0, F.lit("Exact duplicate rows detected")),
+        F.when(F.col("id_columns").isNotNull(), F.lit("Identifier-like columns present")))), "; ")
+    return dups.join(ids, "table_name", "left").select("table_name", F.coalesce("id_columns", F.lit("")).alias("id_columns"), labels.alias("duplicate_patterns"))
 
 
 # ---------------------------------------------------------------- B12
@@ -265,17 +292,17 @@ def domain_tags(catalog: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B14-B17
-def table_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame, dups: DataFrame,
-                  topk: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def table_profile(catalog: DataFrame, nulls: DataFrame, targets: DataFrame, dups: DataFrame,
+                  counts: DataFrame, topk: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """One row per table: counts, quality score (B15), risk (B16) and tags."""
-    w = stats_wide(stats)
+    w = nulls
     flags = name_flags(catalog).join(targets, "table_name")
     cols = catalog.join(w, ["table_name", "column_name"]).join(targets, "table_name")
     per_table = cols.groupBy("table_name").agg(
         F.first("n_rows").alias("n_rows"),
         F.count(F.lit(1)).alias("n_columns"),
         F.sum("n_null").alias("n_missing"),
-        F.count(F.when(F.col("n_distinct") <= 1, 1)).alias("n_constant"),
+        F.count(F.when(F.col("constant"), 1)).alias("n_constant"),
         F.count(F.when((F.col("n_null") / F.greatest(F.col("n_rows"), F.lit(1))) > options.missing_flag_ratio, 1)).alias("n_missing_flag"),
         F.count(F.when(F.col("column_name") != F.col("target"), 1)).alias("feature_count"))
     nf = flags.groupBy("table_name").agg(
@@ -291,7 +318,7 @@ def table_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame, dups
         F.count(F.when((F.col("column_name") != F.col("target")) &
                        N.contains_any(F.lower("column_name"), N.TAG_RECOMMENDER_TOKENS), 1)).alias("n_rec"))
     imb = topk.groupBy("table_name").agg((F.min("n") / F.greatest(F.sum("n"), F.lit(1))).alias("top10_min_share"))
-    tp = target_profile(catalog, stats, targets).select("table_name", "task_type", "problem_type")
+    tp = target_profile(catalog, counts, targets).select("table_name", "task_type", "problem_type")
     t = per_table.join(nf, "table_name").join(dups, ["table_name", "n_rows"]).join(tp, "table_name") \
         .join(imb, "table_name", "left")
 
@@ -327,15 +354,53 @@ def table_profile(catalog: DataFrame, stats: DataFrame, targets: DataFrame, dups
     return t.select("*", tags.alias("tags"), findings.alias("findings")).drop("_pen", "_rq")
 
 
-def profile_lake(spark: SparkSession, tables: dict[str, DataFrame], options: Options = DEFAULT):
-    """Everything above for a dict of tables; returns a dict of DataFrames."""
-    cat = catalog_of(spark, tables)
-    # small results reused by several rules: computed once, kept on the executors
-    stats = lake_stats(tables, exact=options.exact).persist()
-    targets = infer_target(cat)
-    tmap = {r["table_name"]: r["target"] for r in targets.collect()}   # one name per table
-    counts = target_counts(tables, tmap).persist()
-    topk = target_topk(counts)
-    dups = duplicate_counts(tables)
-    return {"catalog": cat, "stats": stats, "targets": targets, "target_map": tmap, "counts": counts,
-            "topk": topk, "dups": dups, "release": lambda: (stats.unpersist(), counts.unpersist())}
+class LakeProfile:
+    """The profile of a dict of tables.  Parts are computed when first asked for, so a
+    question about targets reads target columns only.  Kept parts are a few rows per
+    column (``counts``: per target value); ``release`` lets go of them."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], options: Options = DEFAULT):
+        self.spark, self.tables, self.options, self._kept = spark, tables, options, []
+        self.catalog = catalog_of(spark, tables)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return self._keep(infer_target(self.catalog))
+
+    @cached_property
+    def target_map(self) -> dict[str, str]:
+        return {r["table_name"]: r["target"] for r in self.targets.collect()}   # one name per table
+
+    @cached_property
+    def nulls(self) -> DataFrame:
+        return self._keep(null_stats(self.tables))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self._keep(target_counts(self.tables, self.target_map))
+
+    @cached_property
+    def topk(self) -> DataFrame:
+        return target_topk(self.counts)
+
+    @cached_property
+    def dups(self) -> DataFrame:
+        return self._keep(duplicate_counts(self.tables))
+
+    def target_profile(self) -> DataFrame:
+        return target_profile(self.catalog, self.counts, self.targets)
+
+    def table_profile(self) -> DataFrame:
+        return table_profile(self.catalog, self.nulls, self.targets, self.dups, self.counts, self.topk, self.options)
+
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+
+
+def profile_lake(spark: SparkSession, tables: dict[str, DataFrame], options: Options = DEFAULT) -> LakeProfile:
+    return LakeProfile(spark, tables, options)

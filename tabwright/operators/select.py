@@ -1,16 +1,16 @@
 """Cross-validated model comparison, tuning and batch prediction.
 
 One physical training set carries a ``fold`` column (hash-ranked, see
-``split``).  For every fold the preprocessor is refitted on the other folds
-(as the reference refits it inside each CV split), the assembled
-``(features, label)`` frame is persisted once and shared by all candidates,
-and the (candidate, fold) fits run on a small driver thread pool - each fit
-is itself a distributed Spark job.  Scores come back as one number per fit.
+``split``) and is kept once.  For every fold the preprocessor is refitted on
+the other folds (as the reference refits it inside each CV split); the
+assembled ``(features, label)`` frames of one fold at a time are kept, shared
+by all candidates and released when their fits end.  Fits of a fold run on a
+small driver thread pool; each is itself a distributed Spark job.  Scores come
+back as one number per fit.  Partitioning is left to AQE.
 """
 
 from __future__ import annotations
 
-import math
 import statistics
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
-from . import metrics as M
 from .features import Preprocessor, fit_preprocessor
 from .models import candidates, fallback_candidate, make_estimator, search_space
 from .split import choose_folds, fold_assign, fold_stratified, min_class_count
@@ -31,7 +30,7 @@ from .split import choose_folds, fold_assign, fold_stratified, min_class_count
 
 @dataclass
 class TrainSet:
-    df: DataFrame                  # key, features columns, target, label_idx, fold
+    df: DataFrame                  # key, features columns, target, label_idx, fold, fold_tune
     key: str
     target: str
     task_type: str
@@ -39,15 +38,11 @@ class TrainSet:
     categorical: list[str]
     labels: list[str] = field(default_factory=list)   # class names by index
     n: int = 0
-    k: int = 5
-    partitions: int | None = None
-    _folds: dict = field(default_factory=dict)
+    k: int = 5                     # folds of the comparison
+    k_tune: int = 5                # folds of the search
 
     def release(self):
-        for _, (tr, te, _) in self._folds.items():
-            tr.unpersist()
-            te.unpersist()
-        self._folds.clear()
+        self.df.unpersist()
 
 
 def prepare(df: DataFrame, key: str, target: str, task_type: str, numeric: list[str], categorical: list[str],
@@ -66,32 +61,27 @@ def prepare(df: DataFrame, key: str, target: str, task_type: str, numeric: list[
         smallest = None
     n = d.count()
     k, strat = choose_folds(task_type, n, smallest, options)
-    d = fold_stratified(d, key, target, k, options) if strat else fold_assign(d, key, k, options)
-    # iterative learners run one job per iteration: keep about rows_per_partition rows per task
-    # (only ever reduces the partition count, so large inputs keep their layout)
-    want = max(1, -(-n // options.rows_per_partition))
-    d, parts = d.coalesce(want), want      # coalesce never adds partitions
+    k_tune, _ = choose_folds(task_type, n, smallest, options, tuning=True)
+    deal = (lambda x, folds: fold_stratified(x, key, target, folds, options)) if strat else (lambda x, folds: fold_assign(x, key, folds, options))
+    d = deal(d, k)
+    d = d.withColumn("fold_tune", F.col("fold")) if k_tune == k else deal(d.withColumnRenamed("fold", "_f"), k_tune).withColumnRenamed(
+        "fold", "fold_tune").withColumnRenamed("_f", "fold")
+    # iterative learners run a job per iteration over this layout: partitions of the
+    # advisory size, not as many as there are cores (AQE decides either way)
+    conf = d.sparkSession.conf
+    wanted = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true"}
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, v in wanted.items():
+        conf.set(name, v)
+    d = d.hint("rebalance")
     if materialize == "checkpoint":
         d = d.checkpoint(eager=True)          # reliable copy in spark.checkpoint.dir; survives executor loss
     else:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    return TrainSet(d, key, target, task_type, numeric, categorical, labels, n, k, parts)
-
-
-def _sized(ts: TrainSet, df: DataFrame) -> DataFrame:
-    return df.coalesce(ts.partitions) if ts.partitions else df
-
-
-def _fold_data(ts: TrainSet, f: int, options: Options):
-    if f not in ts._folds:
-        tr = ts.df.where(F.col("fold") != f)
-        te = ts.df.where(F.col("fold") == f)
-        pre = fit_preprocessor(tr, ts.numeric, ts.categorical, options)
-        trx = _sized(ts, pre.transform(tr).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
-        tex = _sized(ts, pre.transform(te).select("features", "label_idx")).persist(StorageLevel.MEMORY_AND_DISK)
-        trx.count(), tex.count()    # fill the caches once, before concurrent fits read them
-        ts._folds[f] = (trx, tex, pre)
-    return ts._folds[f]
+        d.count()
+    for name, v in before.items():
+        conf.set(name, v) if v is not None else conf.unset(name)
+    return TrainSet(d, key, target, task_type, numeric, categorical, labels, n, k, k_tune)
 
 
 def cv_score(pred: DataFrame, task_type: str, scoring: str) -> float:
@@ -104,68 +94,61 @@ def cv_score(pred: DataFrame, task_type: str, scoring: str) -> float:
                                                    metricName=metric).evaluate(pred))
 
 
-def score_predictions(pred: DataFrame, task_type: str, scoring: str) -> float:
-    if task_type == "regression":
-        return float(M.regression_metrics(pred, "label_idx", "prediction").collect()[0]["r2"] or float("nan"))
-    if scoring == "f1_weighted":
-        return float(M.prf_weighted(pred, "label_idx", "prediction").collect()[0]["f1"])
-    return float(M.accuracy(pred, "label_idx", "prediction").collect()[0]["accuracy"])
-
-
-def _fit_score(ts: TrainSet, name: str, params: dict | None, f: int, scoring: str, options: Options) -> float:
-    trx, tex, _ = _fold_data(ts, f, options)
-    n_tr = ts.n - ts.n // ts.k
-    est = make_estimator(name, n_tr, max(2, len(ts.labels)), options, params)
-    model = est.fit(trx)
-    return cv_score(model.transform(tex), ts.task_type, scoring)
-
-
-def cross_validate(ts: TrainSet, jobs: list[tuple[str, dict | None]], scoring: str, options: Options = DEFAULT):
-    """-> {job index: (fold scores | None, error)}; folds are fitted once and shared."""
-    with ThreadPoolExecutor(max_workers=max(1, min(ts.k, options.cv_parallelism))) as pool:
-        list(pool.map(lambda f: _fold_data(ts, f, options), range(ts.k)))
-    tasks = [(j, f) for j in range(len(jobs)) for f in range(ts.k)]
-
-    def run(t):
-        j, f = t
-        name, params = jobs[j]
+def cross_validate(ts: TrainSet, jobs: list[tuple[str, dict | None]], scoring: str, options: Options = DEFAULT, tuning: bool = False):
+    """-> {job index: (fold scores | None, error)}; a job that fails in a fold is not tried in the next."""
+    k, column = (ts.k_tune, "fold_tune") if tuning else (ts.k, "fold")
+    scores: dict[int, list] = {j: [] for j in range(len(jobs))}
+    errors: dict[int, str] = {}
+    for f in range(k):
+        tr, te = ts.df.where(F.col(column) != f), ts.df.where(F.col(column) == f)
         try:
-            return t, _fit_score(ts, name, params, f, scoring, options), None
-        except Exception as e:  # a failing candidate is skipped (G8)
-            return t, None, repr(e)[:200]
-
-    with ThreadPoolExecutor(max_workers=max(1, options.cv_parallelism)) as pool:
-        results = list(pool.map(run, tasks))
-    out = {}
-    for (j, f), s, err in results:
-        scores, errs = out.setdefault(j, ([None] * ts.k, []))
-        scores[f] = s
-        if err:
-            errs.append(err)
-    return {j: (None if errs else scores, errs[0] if errs else None) for j, (scores, errs) in out.items()}
+            pre = fit_preprocessor(tr, ts.numeric, ts.categorical, options)
+        except Exception as e:
+            errors |= {j: repr(e)[:200] for j in scores if j not in errors}
+            break
+        trx, tex = (pre.transform(x).select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK) for x in (tr, te))
+        n_tr = trx.count()
+        tex.count()
+
+        def run(j):
+            name, params = jobs[j]
+            try:
+                model = make_estimator(name, n_tr, max(2, len(ts.labels)), options, params).fit(trx)
+                scores[j].append(cv_score(model.transform(tex), ts.task_type, scoring))
+            except Exception as e:  # a failing candidate is skipped (G8)
+                errors[j] = repr(e)[:200]
+
+        with ThreadPoolExecutor(max_workers=max(1, options.cv_parallelism)) as pool:
+            list(pool.map(run, [j for j in scores if j not in errors]))
+        trx.unpersist()
+        tex.unpersist()
+    return {j: (None, errors[j]) if j in errors else (scores[j], None) for j in scores}
 
 
 LEADERBOARD_SCHEMA = ("candidate_no int, model string, fold_scores array<double>, mean_score double, "
                       "std_score double, fit_status string, rank int")
 
 
-def compare_models(ts: TrainSet, scoring: str, options: Options = DEFAULT, include_boosters: bool = False) -> DataFrame:
+def compare_models(ts: TrainSet, scoring: str, options: Options = DEFAULT, include_boosters: bool = True,
+                   names: list[str] | None = None) -> DataFrame:
     """Leaderboard (mean, population std, per-fold scores), failures skipped,
-    random-forest fallback if nothing fitted, rank by mean desc then candidate order."""
-    names = candidates(ts.task_type, include_boosters)
-    res = cross_validate(ts, [(n, None) for n in names], scoring, options)
-    rows = []
-    for j, name in enumerate(names):
-        scores, err = res[j]
+    random-forest fallback if nothing fitted, rank by mean desc then candidate order.
+
+    If the fallback fails too, its row says so and no row has a rank."""
+    names = names or candidates(ts.task_type, include_boosters)
+
+    def row(j, name, result, status):
+        scores, err = result
         if scores is None:
-            rows.append((j, name, None, None, None, "failed: " + err))
-        else:
-            rows.append((j, name, scores, statistics.fmean(scores), statistics.pstdev(scores), "ok"))
+            return (j, name, None, None, None, f"failed: {err}")
+        return (j, name, scores, statistics.fmean(scores), statistics.pstdev(scores), status)
+
+    res = cross_validate(ts, [(n, None) for n in names], scoring, options)
+    rows = [row(j, name, res[j], "ok") for j, name in enumerate(names)]
     if not any(r[5] == "ok" for r in rows):
         fb = fallback_candidate(ts.task_type)
-        scores, err = cross_validate(ts, [(fb, None)], scoring, options)[0]
-        rows.append((len(rows), fb, scores, statistics.fmean(scores), statistics.pstdev(scores), "fallback"))
-    ok = sorted([r for r in rows if r[5] != "failed" and r[3] is not None], key=lambda r: (-round(r[3], 12), r[0]))
+        rows.append(row(len(rows), fb, cross_validate(ts, [(fb, None)], scoring, options)[0], "fallback"))
+    ok = sorted([r for r in rows if r[3] is not None], key=lambda r: (-round(r[3], 12), r[0]))
     rank = {r[0]: i + 1 for i, r in enumerate(ok)}
     spark = ts.df.sparkSession
     return spark.createDataFrame([(*r, rank.get(r[0])) for r in rows], LEADERBOARD_SCHEMA)
@@ -185,7 +168,10 @@ def fit_final(ts: TrainSet, name: str, params: dict | None, options: Options = D
     """Preprocessor + estimator refitted on all training rows."""
     pre = fit_preprocessor(ts.df, ts.numeric, ts.categorical, options)
     est = make_estimator(name, ts.n, max(2, len(ts.labels)), options, params)
-    return pre, est.fit(_sized(ts, pre.transform(ts.df).select("features", "label_idx")))
+    frame = pre.transform(ts.df).select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    model = est.fit(frame)
+    frame.unpersist()
+    return pre, model
 
 
 def tune(ts: TrainSet, name: str, scoring: str, options: Options = DEFAULT) -> TuningResult:
@@ -195,12 +181,14 @@ def tune(ts: TrainSet, name: str, scoring: str, options: Options = DEFAULT) -> T
     if not maps:
         pre, model = fit_final(ts, name, None, options)
         return TuningResult(model, pre, {}, float("nan"), "none", [])
-    res = cross_validate(ts, [(name, m) for m in maps], scoring, options)
+    res = cross_validate(ts, [(name, m) for m in maps], scoring, options, tuning=True)
     trials = []
     for j, m in enumerate(maps):
         scores, err = res[j]
         trials.append((m, statistics.fmean(scores) if scores else None, err))
     good = [(i, t) for i, t in enumerate(trials) if t[1] is not None]
+    if not good:
+        raise RuntimeError(f"no point of the search could be fitted: {trials[0][2]}")
     bi, best = max(good, key=lambda it: (it[1][1], -it[0]))
     pre, model = fit_final(ts, name, best[0], options)
     return TuningResult(model, pre, dict(best[0]), best[1], strategy, trials)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace as _replace
 
 @dataclass(frozen=True)
 class Options:
+    # --- fixed values: the reference's thresholds and sizes ---
     seed: int = 42
     test_size: float = 0.2
     cv_folds: int = 5
@@ -31,12 +32,10 @@ class Options:
     background_rows: int = 50
     permutation_repeats: int = 5
     pdp_grid_points: int = 100
-    # scale knobs
+    # --- end of fixed values; scale knobs ---
     exact: bool = True                 # exact quantiles/distincts; False -> sketches
     quantile_accuracy: int = 100_000    # approx_percentile accuracy used to bound the exact refine pass
-    model_preset: str = "fast"         # "fast" (few trees, shallow) or "reference" (300 trees...)
     cv_parallelism: int = 8
-    rows_per_partition: int = 200_000   # training-set rows per task for iterative learners
 
     def replace(self, **kw) -> "Options":
         return _replace(self, **kw)

@@ -83,17 +83,15 @@ FROM cat c JOIN targets t USING (table_name) JOIN st s ON s.table_name = c.table
 GROUP BY c.table_name""")
 def q_eda_shape(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    roles = P.column_roles(p["catalog"], p["targets"])
-    w = P.stats_wide(p["stats"])
-    j = roles.join(w, ["table_name", "column_name"])
-    return j.groupBy("table_name").agg(
-        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"),
-        F.count(F.when(F.col("role") == "numeric", 1)).alias("n_numeric"),
-        F.count(F.when(F.col("role") == "categorical", 1)).alias("n_categorical"),
-        F.max(F.when(F.col("role") == "target", F.col("n_distinct"))).alias("target_distinct"))
+    roles = P.column_roles(p.catalog, p.targets)
+    shape = roles.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.count(F.when(F.col("role") == "numeric", 1)).alias("n_numeric"),
+        F.count(F.when(F.col("role") == "categorical", 1)).alias("n_categorical"))
+    return shape.join(p.target_profile(), "table_name").select(
+        "table_name", "n_rows", "n_columns", "n_numeric", "n_categorical", F.col("n_distinct").alias("target_distinct"))
 
 
-FLAG_TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "labels")
+FLAG_TABLES = tuple(SCHEMAS)
 
 
 def _flags_sql():
@@ -121,11 +119,11 @@ FROM tp JOIN maj USING (table_name) LEFT JOIN cf USING (table_name) WHERE tp.tab
 @query("eda_flags", sql=_flags_sql())
 def q_eda_flags(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    tp = P.target_profile(p["catalog"], p["stats"], p["targets"]).where(F.col("table_name").isin(*FLAG_TABLES))
-    maj = p["counts"].groupBy("table_name").agg((F.max("n") / F.sum("n")).alias("majority_share"))
+    tp = p.target_profile().where(F.col("table_name").isin(*FLAG_TABLES))
+    maj = p.counts.groupBy("table_name").agg((F.max("n") / F.sum("n")).alias("majority_share"))
     parts = []
     for t in FLAG_TABLES:
-        num, _ = split_roles(tables[t], p["target_map"][t])
+        num, _ = split_roles(tables[t], p.target_map[t])
         c = D.corr_long(tables[t], num)
         parts.append(c.agg(F.max((F.abs("r") > DEFAULT.correlation_flag).cast("int")).alias("hc")).select(
             F.lit(t).alias("table_name"), F.coalesce(F.col("hc") == 1, F.lit(False)).alias("high_corr")))
@@ -150,10 +148,13 @@ def q_split_random(spark, sf_dir):
     return S.split_random(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "split")
 
 
-@query("split_stratified", sql=f"""SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER
-  (PARTITION BY o_orderstatus ORDER BY h, o_orderkey)
-  <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY o_orderstatus)) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT o_orderkey, o_orderstatus, {H_ORD} AS h FROM orders) x""")
+@query("split_stratified", sql=f"""WITH x AS (SELECT o_orderkey, o_orderstatus, {H_ORD} AS h FROM orders),
+c AS (SELECT o_orderstatus AS cls, count(*) AS n, ceil(CAST(0.2 AS DOUBLE) * (SELECT count(*) FROM orders)) AS total FROM orders GROUP BY 1),
+e AS (SELECT cls, total, total * n / (SELECT count(*) FROM orders) AS exact FROM c),
+a AS (SELECT cls, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, cls)
+        <= total - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS n_test FROM e)
+SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) <= n_test
+  THEN 'test' ELSE 'train' END AS split FROM x JOIN a ON cls = o_orderstatus""")
 def q_split_stratified(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return S.split_stratified(o, "o_orderkey", "o_orderstatus").select("o_orderkey", "o_orderstatus", "split")
@@ -167,7 +168,7 @@ def q_fold_assign(spark, sf_dir):
 
 @query("fold_stratified", sql=f"""WITH x AS (SELECT o_orderkey, o_orderstatus, {H_ORD} AS h FROM orders),
 k AS (SELECT greatest(2, least(5, min(n))) AS k FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus) c)
-SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) - 1)
+SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (ORDER BY o_orderstatus, h, o_orderkey) - 1)
   % (SELECT k FROM k) AS INT) AS fold FROM x""")
 def q_fold_stratified(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -189,8 +190,8 @@ SELECT tp.table_name, CASE WHEN tp.task_type = 'regression' THEN 'r2'
 FROM tp LEFT JOIN mc USING (table_name)""")
 def q_scoring_choice(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    tp = P.target_profile(p["catalog"], p["stats"], p["targets"])
-    sc = S.scoring_choice(p["counts"])
+    tp = p.target_profile()
+    sc = S.scoring_choice(p.counts)
     return tp.join(sc, "table_name", "left").select(
         "table_name", F.when(F.col("task_type") == "regression", "r2")
         .otherwise(F.coalesce(F.col("scoring"), F.lit("accuracy"))).alias("scoring"))

@@ -61,7 +61,7 @@ def q_shap_sampled(spark, sf_dir):
     size = len(pre.feature_names)
     return X.shap_sampled(rows, bg, "p_partkey", "features", size,
                           lambda d: model.transform(d).withColumn("_out", F.col("prediction")),
-                          pre.feature_names, permutations=4, seed=SEED)
+                          pre.feature_names, seed=SEED)
 
 
 @query("native_importance")
@@ -86,18 +86,13 @@ def _perm(spark, sf_dir):
 
 def _perm_sql():
     tags = ", ".join(f"('{f}', {r})" for f in PERM_FEATURES for r in range(DEFAULT.permutation_repeats))
-    ha = sql_hash_unit("pa", SEED)
-    hb = sql_hash_unit("pb", SEED)
     swapped = ", ".join(f"CASE WHEN feature = '{f}' THEN b.{f} ELSE a.{f} END AS {f}" for f in PERM_FEATURES)
-    return f"""base AS (SELECT o_orderkey, o_orderstatus, {', '.join(PERM_FEATURES)} FROM orders),
+    return f"""base AS (SELECT o_orderkey, o_orderstatus, {', '.join(PERM_FEATURES)}, row_number() OVER (ORDER BY {sql_hash_unit('o_orderkey', SEED)}, o_orderkey) AS r,
+        count(*) OVER () AS n FROM orders),
 tags(feature, rep) AS (VALUES {tags}),
-x AS (SELECT base.*, tags.feature, tags.rep,
-        CAST(o_orderkey AS VARCHAR) || ':' || tags.feature || ':' || CAST(tags.rep AS VARCHAR) || ':a' AS pa,
-        CAST(o_orderkey AS VARCHAR) || ':' || tags.feature || ':' || CAST(tags.rep AS VARCHAR) || ':b' AS pb
+x AS (SELECT base.*, tags.feature, tags.rep, (r - 1 + 1 + CAST('0x' || substr(md5(tags.feature || ':' || tags.rep || ':{SEED}'), 1, 12) AS BIGINT) % greatest(1, n - 1)) % n + 1 AS other
       FROM base, tags),
-ra AS (SELECT *, row_number() OVER (PARTITION BY feature, rep ORDER BY {ha}, pa) AS r FROM x),
-rb AS (SELECT feature, rep, {', '.join(PERM_FEATURES)}, row_number() OVER (PARTITION BY feature, rep ORDER BY {hb}, pb) AS r FROM x),
-j AS (SELECT a.feature, a.rep, a.o_orderstatus, {swapped} FROM ra a JOIN rb b USING (feature, rep, r)),
+j AS (SELECT a.feature, a.rep, a.o_orderstatus, {swapped} FROM x a JOIN base b ON b.r = a.other),
 sc AS (SELECT feature, rep, avg(CAST(({TREE_RULE}) = o_orderstatus AS DOUBLE)) AS score FROM j GROUP BY feature, rep),
 basesc AS (SELECT avg(CAST(({TREE_RULE}) = o_orderstatus AS DOUBLE)) AS b FROM base),
 perm AS (SELECT feature, (SELECT b FROM basesc) - avg(score) AS importance, stddev_pop(score) AS std FROM sc GROUP BY feature)"""

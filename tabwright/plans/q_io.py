@@ -23,14 +23,16 @@ def _fresh(spark, name):
 
 @query("csv_scan", sql="""SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
-  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+  c_name || ', "quoted"' || chr(10) || 'next line' AS note FROM customer""")
 def q_csv_scan(spark, sf_dir):
     """customer written as CSV with padded header names and 'NA' / 'null' tokens, scanned back."""
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     out = c.select(k.alias(" c_custkey "), F.col("c_name").alias("c_name "), F.col("c_nationkey").alias("  c_nationkey"),
                    F.when(k % 11 == 0, F.lit("null")).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
-                   F.when(k % 7 == 0, F.lit("NA")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+                   F.when(k % 7 == 0, F.lit("NA")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+                   F.concat(F.col("c_name"), F.lit(', "quoted"\nnext line')).alias("note"))
     path = _fresh(spark, "csv")
     SK.write_table(out, path, fmt="csv")
     return CSV.read_csv(spark, path)
@@ -50,11 +52,11 @@ def q_model_store(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
     pre, model = SEL.fit_final(ts, "Logistic Regression", None)
     path = _fresh(spark, "model")
-    SK.save_model(pre.model, model, path)
+    SK.save_model(pre.model, model, path, ts.labels)
     loaded = SK.load_model(path)
     test = s.where(F.col("split") == "test")
     return loaded.transform(test).select("doc_id", F.col("quality").cast("string").alias("actual"),
-                                         F.col("prediction").alias("prediction_index"))
+                                         F.col("predicted").alias("prediction"))
 
 
 @query("predict_stream")
@@ -65,7 +67,7 @@ def q_predict_stream(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
     pre, model = SEL.fit_final(ts, "Logistic Regression", None)
     base = _fresh(spark, "stream")
-    pipe = SK.save_model(pre.model, model, base + "/model")
+    pipe = SK.save_model(pre.model, model, base + "/model", ts.labels)
     landing = s.where(F.col("split") == "test").drop("split")
     landing.repartition(4).write.parquet(base + "/landing")
     score_stream(spark, pipe, base + "/landing", landing.schema, base + "/scored", base + "/checkpoint",

@@ -9,6 +9,7 @@ except ordinary least squares which has an exact SQL oracle.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -75,8 +76,8 @@ _register_train("train_dt_cls", "Decision Tree", "classification")
 _register_train("train_dt_reg", "Decision Tree Regressor", "regression")
 _register_train("train_svc", "SVM", "classification")
 _register_train("train_huber", "SVR", "regression")
-_register_train("train_gbt_cls", "Gradient Boosting", "classification")
-_register_train("train_gbt_reg", "Gradient Boosting Regressor", "regression")
+_register_train("train_gbt_cls", "Level-wise Boosting", "classification")
+_register_train("train_gbt_reg", "Level-wise Boosting Regressor", "regression")
 
 
 @query("train_linreg", sql="""SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope,
@@ -110,7 +111,7 @@ def q_tune_grid(spark, sf_dir):
 @query("tune_random")
 def q_tune_random(spark, sf_dir):
     s, ts = part_trainset(spark, sf_dir)
-    r = SEL.tune(ts, "Gradient Boosting Regressor", "r2")
+    r = SEL.tune(ts, "Random Forest Regressor", "r2")
     rows = [(r.strategy, json.dumps(m, sort_keys=True), sc, m == r.best_params) for m, sc, _ in r.trials]
     return spark.createDataFrame(rows, "strategy string, params string, mean_score double, best boolean")
 
@@ -125,7 +126,11 @@ def q_predict_batch(spark, sf_dir):
 
 @query("automl_run")
 def q_automl_run(spark, sf_dir):
-    """The whole supervised run on document quality (target inferred as the last column)."""
+    """The whole supervised run on document quality (target inferred as the last column):
+    its tables and model are stored, its row is appended to a registry and read back."""
+    from ..sources.registry import read_runs, work_dir
     from .automl import automl_run
     d = doc_quality(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "quality")
-    return automl_run(spark, d, "doc_id", "doc_quality").run
+    base = work_dir(spark, f"automl-{uuid.uuid4().hex[:10]}")
+    automl_run(spark, d, "doc_id", "doc_quality", registry_path=f"{base}/registry", output_path=f"{base}/run")
+    return read_runs(spark, f"{base}/registry")

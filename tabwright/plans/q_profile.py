@@ -157,24 +157,31 @@ def q_scan_profile(spark, sf_dir):
 
 
 def fingerprint_sql(t: str) -> str:
-    """DuckDB form of ``hashing.fingerprint`` for one table (one row)."""
-    cols = ", ".join(
-        f"CAST(CAST(floor({c} * 1000000) AS BIGINT) AS VARCHAR)" if f == "float" else
-        (f"CAST(epoch_us({c}) AS VARCHAR)" if f == "temporal" else f"CAST({c} AS VARCHAR)")
-        for c, f in SCHEMAS[t])
-    return f"""SELECT {_q(t)} AS table_name, n_rows, content_hash,
-   substr(sha256(CAST(n_rows AS VARCHAR) || ':' || CAST(content_hash AS VARCHAR)), 1, 16) AS dataset_signature FROM (
-   SELECT count(*) AS n_rows, CAST(coalesce(sum(h), 0) % 2305843009213693951 AS BIGINT) AS content_hash FROM (
-     SELECT CAST(('0x' || substr(md5(concat_ws('|', {cols})), 1, 8)) AS BIGINT) AS h FROM {t}) x) y"""
-
-
-@query("fingerprint", sql=" UNION ALL ".join(fingerprint_sql(t) for t in ("customer", "orders", "lineitem", "events", "part")))
+    """The same rule in DuckDB: length-marked lossless fields, two 64-bit sums."""
+    hexf = "replace(printf('%a', CAST({c} AS DOUBLE)), 'p+', 'p')"
+
+    def text(c, f):
+        if f == "float":
+            return hexf.format(c=c)
+        if f == "nested":
+            return f"array_to_string(list_transform({c}, lambda x: coalesce({hexf.format(c='x')}, 'null')), ',')"
+        return f"CAST(epoch_us({c}) AS VARCHAR)" if f == "temporal" else f"CAST({c} AS VARCHAR)"
+
+    cols = " || ".join(f"coalesce(CAST(length({text(c, f)}) AS VARCHAR) || ':' || {text(c, f)}, 'n')" for c, f in SCHEMAS[t])
+    half = "CAST(CAST('0x' || substr(h, {at}, 16) AS UBIGINT) AS HUGEINT)"
+    return f"""SELECT {_q(t)} AS table_name, n_rows, content_hash, content_hash_2,
+   substr(sha256(n_rows || ':' || content_hash || ':' || content_hash_2), 1, 16) AS dataset_signature FROM (
+   SELECT count(*) AS n_rows, CAST(coalesce(sum({half.format(at=1)}), 0) % 2305843009213693951 AS BIGINT) AS content_hash,
+          CAST(coalesce(sum({half.format(at=17)}), 0) % 2305843009213693951 AS BIGINT) AS content_hash_2 FROM (
+     SELECT md5({cols}) AS h FROM {t}) x) y"""
+
+
+@query("fingerprint", sql=" UNION ALL ".join(fingerprint_sql(t) for t in TABLES))
 def q_fingerprint(spark, sf_dir):
-    parts = [fingerprint(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*")
-             for t in ("customer", "orders", "lineitem", "events", "part")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for t in TABLES:
+        part = fingerprint(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -198,55 +205,54 @@ def q_column_roles(spark, sf_dir):
 @query("task_type", sql=f"WITH {BASE} SELECT table_name, target, task_type FROM tp")
 def q_task_type(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    return P.target_profile(p["catalog"], p["stats"], p["targets"]).select("table_name", "target", "task_type")
+    return p.target_profile().select("table_name", "target", "task_type")
 
 
 @query("problem_type", sql=f"WITH {BASE} SELECT table_name, target, problem_type FROM tp")
 def q_problem_type(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    return P.target_profile(p["catalog"], p["stats"], p["targets"]).select("table_name", "target", "problem_type")
+    return p.target_profile().select("table_name", "target", "problem_type")
 
 
 @query("missing_profile", sql=f"""WITH {BASE}
 SELECT table_name, column_name, n_null, round(CAST(n_null AS DOUBLE) / greatest(n_rows, 1), 6) AS missing_ratio FROM st""")
 def q_missing_profile(spark, sf_dir):
-    w = P.stats_wide(P.lake_stats(lake(spark, sf_dir)))
+    w = P.null_stats(lake(spark, sf_dir))
     return w.select("table_name", "column_name", "n_null", r6(F.col("n_null") / F.greatest(F.col("n_rows"), F.lit(1))).alias("missing_ratio"))
 
 
 @query("missing_flag", sql=f"""WITH {BASE}
 SELECT table_name, column_name FROM st WHERE CAST(n_null AS DOUBLE) / greatest(n_rows, 1) > 0.2""")
 def q_missing_flag(spark, sf_dir):
-    w = P.stats_wide(P.lake_stats(lake(spark, sf_dir)))
+    w = P.null_stats(lake(spark, sf_dir))
     return w.where(F.col("n_null") / F.greatest(F.col("n_rows"), F.lit(1)) > 0.2).select("table_name", "column_name")
 
 
 @query("distinct_profile", sql=f"WITH {BASE} SELECT table_name, column_name, n_distinct FROM st")
 def q_distinct_profile(spark, sf_dir):
-    w = P.stats_wide(P.lake_stats(lake(spark, sf_dir)))
-    return w.select("table_name", "column_name", "n_distinct")
+    return P.distinct_stats(lake(spark, sf_dir))
 
 
 @query("distinct_approx")
 def q_distinct_approx(spark, sf_dir):
     """HyperLogLog++ distinct counts (rsd 5%): one pass, fixed memory per column."""
-    w = P.stats_wide(P.lake_stats(lake(spark, sf_dir), exact=False))
-    return w.select("table_name", "column_name", F.col("n_distinct").alias("n_distinct_approx"))
+    w = P.lake_stats(lake(spark, sf_dir), exact=False).where("metric = 'n_distinct'")
+    return w.select("table_name", "column_name", F.col("value").cast("long").alias("n_distinct_approx"))
 
 
 @query("constant_columns", sql=f"""WITH {BASE}
 SELECT table_name, count(*) FILTER (WHERE n_distinct <= 1) AS n_constant FROM st GROUP BY table_name""")
 def q_constant_columns(spark, sf_dir):
-    w = P.stats_wide(P.lake_stats(lake(spark, sf_dir)))
-    return w.groupBy("table_name").agg(F.count(F.when(F.col("n_distinct") <= 1, 1)).alias("n_constant"))
+    w = P.null_stats(lake(spark, sf_dir))
+    return w.groupBy("table_name").agg(F.count(F.when(F.col("constant"), 1)).alias("n_constant"))
 
 
 @query("target_topk", sql=f"""WITH {COUNTS}
 SELECT table_name, value, n, rank FROM topk JOIN tp USING (table_name) WHERE task_type = 'classification'""")
 def q_target_topk(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    tp = P.target_profile(p["catalog"], p["stats"], p["targets"]).where(F.col("task_type") == "classification")
-    return p["topk"].join(tp.select("table_name"), "table_name").select("table_name", "value", "n", F.col("rank").cast("long").alias("rank"))
+    tp = p.target_profile().where(F.col("task_type") == "classification")
+    return p.topk.join(tp.select("table_name"), "table_name").select("table_name", "value", "n", F.col("rank").cast("long").alias("rank"))
 
 
 _MOM = " UNION ALL ".join(
@@ -259,9 +265,9 @@ SELECT table_name, round(mean, 4) AS mean, round(std, 4) AS std FROM mom JOIN tp
 WHERE task_type = 'regression'""")
 def q_target_moments(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    tp = P.target_profile(p["catalog"], p["stats"], p["targets"]).where(F.col("task_type") == "regression")
+    tp = p.target_profile().where(F.col("task_type") == "regression")
     reg = [r["table_name"] for r in tp.select("table_name").collect()]
-    m = P.target_moments({t: tables[t] for t in reg}, {t: p["target_map"][t] for t in reg})
+    m = P.target_moments({t: tables[t] for t in reg}, {t: p.target_map[t] for t in reg})
     return m.select("table_name", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"))
 
 
@@ -288,19 +294,15 @@ def q_sensitive_columns(spark, sf_dir):
         f.where("risk_sensitive").select("table_name", "column_name", F.lit("risk").alias("hint_list")))
 
 
-@query("id_columns", sql=f"""WITH {BASE}, {FLAGS}, dups AS ({_dups_sql()})
-SELECT f.table_name, f.column_name,
-  CASE WHEN d.n_duplicates > 0 THEN 'Exact duplicate rows detected; Identifier-like columns present'
-       ELSE 'Identifier-like columns present' END AS duplicate_patterns
-FROM flags f JOIN dups d USING (table_name) WHERE id_like""")
+@query("id_columns", sql=f"""WITH {BASE}, {FLAGS}, dups AS ({_dups_sql()}),
+ids AS (SELECT table_name, string_agg(column_name, ',' ORDER BY ordinal) AS id_columns FROM flags WHERE id_like GROUP BY table_name)
+SELECT d.table_name, coalesce(id_columns, '') AS id_columns, CASE
+  WHEN n_duplicates > 0 AND id_columns IS NOT NULL THEN 'Exact duplicate rows detected; Identifier-like columns present'
+  WHEN n_duplicates > 0 THEN 'Exact duplicate rows detected' WHEN id_columns IS NOT NULL THEN 'Identifier-like columns present'
+  ELSE '' END AS duplicate_patterns FROM dups d LEFT JOIN ids USING (table_name)""")
 def q_id_columns(spark, sf_dir):
     tables = lake(spark, sf_dir)
-    f = P.name_flags(P.catalog_of(spark, tables)).where("id_like")
-    d = P.duplicate_counts(tables)
-    labels = F.array_join(F.array_compact(F.array(
-        F.when(F.col("n_duplicates") > 0, F.lit("Exact duplicate rows detected")),
-        F.lit("Identifier-like columns present"))), "; ")
-    return f.join(d, "table_name").select("table_name", "column_name", labels.alias("duplicate_patterns"))
+    return P.duplicate_patterns(P.catalog_of(spark, tables), P.duplicate_counts(tables))
 
 
 @query("domain_tags", sql=f"WITH {BASE}, {DOMAIN} SELECT table_name, business_domain, industry FROM ind")
@@ -312,7 +314,7 @@ def q_domain_tags(spark, sf_dir):
 
 def _table_profile(spark, sf_dir):
     tables, p = _profile(spark, sf_dir)
-    return P.table_profile(p["catalog"], p["stats"], p["targets"], p["dups"], p["topk"])
+    return p.table_profile()
 
 
 @query("quality_score", sql=f"WITH {TABLE_PROFILE} SELECT table_name, quality_score FROM risk")

@@ -78,7 +78,7 @@ def rule_runs(spark, sf_dir):
     sig = fingerprint(tables["orders"]).select(F.lit("orders").alias("dataset"), "dataset_signature").unionByName(
         fingerprint(p).select(F.lit("part").alias("dataset"), "dataset_signature"))
     prof = P.profile_lake(spark, tables)
-    risk = P.table_profile(prof["catalog"], prof["stats"], prof["targets"], prof["dups"], prof["topk"]) \
+    risk = prof.table_profile() \
         .select(F.col("table_name").alias("dataset"), "risk_score")
     runs = runs.join(feats, ["dataset", "candidate_no"]).join(sig, "dataset").join(risk, "dataset")
     primary = F.when(F.col("task_type") == "classification", F.coalesce("f1_score", "accuracy", F.lit(0.0))) \

@@ -41,8 +41,11 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Quoted line breaks and doubled quotes are kept within their field.  Files without
+    line breaks in fields may be read with ``multi_line=False``, which can split them."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+           .option("quote", '"').option("escape", '"').csv(path))
     trimmed = [c.strip() for c in raw.columns]
     s = raw.toDF(*trimmed)
     s = s.select(*[F.when(F.col(c).isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in trimmed])

@@ -36,11 +36,14 @@ def compare_runs(runs: DataFrame) -> DataFrame:
 
 
 def history(runs: DataFrame) -> DataFrame:
-    """A5: per signature the run count, the latest winner (reuse hint), best metric
-    and the set of winners seen."""
+    """A5: per signature the run count, the latest winner and its parameters (reuse
+    hints), the dataset's names, best metric and the set of winners seen."""
+    latest = F.struct("timestamp", "run_id")
+    more = [F.max_by("parameters", latest).alias("prior_parameters")] if "parameters" in runs.columns else []
     return runs.groupBy("dataset_signature").agg(
-        F.count(F.lit(1)).alias("n_runs"),
-        F.max_by("winner", F.struct("timestamp", "run_id")).alias("prior_winner"),
+        F.count(F.lit(1)).alias("n_runs"), *more,
+        F.array_sort(F.collect_set("dataset")).alias("datasets"),
+        F.max_by("winner", latest).alias("prior_winner"),
         F.max("primary_metric").alias("best_metric"),
         F.array_sort(F.collect_set("winner")).alias("winners"),
-        F.first("task_type").alias("task_type"))
+        F.max_by("task_type", latest).alias("task_type"))

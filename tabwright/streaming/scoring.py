@@ -23,7 +23,7 @@ def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, sch
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    scored = model.transform(stream).select(*keep, F.col("prediction").alias("prediction_index"))
+    scored = model.transform(stream).select(*keep, F.col("predicted").alias("prediction"))
     writer = (scored.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
