@@ -12,7 +12,8 @@ every block of the list whose sizes are out of range, or whose positions leave
 too few shingles behind them for the overlap that the sizes ask for.
 
 Answer-level skipping: lists are first answered for one partner per entry
-only, the first of fitting size.  A set then has a leader (its most similar
+only, the first of fitting size; lists in which many components still meet are
+answered again for another partner, round by round.  A set then has a leader (its most similar
 partner) at an exactly known Jaccard distance, and a component.  Within a list
 whose entries are one component nothing is left to ask.  Elsewhere the
 leaders of different components are compared; as the Jaccard distance obeys
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, prepare_workers
+from .common import discard, join_small, materialize, prepare_workers
 from .components import components
 
 WORDS = 5
@@ -49,8 +50,12 @@ PERCENT = 75
 COUNTERS = 22          # log2 of the table of hashed counters
 CHUNKS = 256           # of that table, to add it up
 DOCS_PER_PART = 2000
+CROWD = 24             # components in a list from which stars are tried before leaders
+STAR_ROUNDS = 8
+REACH = 0.17           # a leader is this near at most; other sets are their own leaders
+STAR_WORTH = 20        # a round is worth another if one in so many of its pairs links
 FLUSH = 2_000_000      # postings a worker holds before it ships them
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _B = 0x9E3779B97F4A7C15
 
 
@@ -131,35 +136,36 @@ def scan_sets(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, sid, n of every document; kind 1: a chunk of a worker's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTERS, dtype=np.int64)
+        counts = np.zeros(1 << COUNTERS, dtype=np.uint16)
         any_row = False
         for b in batches:
             any_row = True
             texts, sids, sizes = b.column(1).to_pylist(), [], []
-            for lo in range(0, len(texts), 512):
-                sets = shingle_sets(texts[lo:lo + 512])
+            for lo in range(0, len(texts), 1024):
+                sets = shingle_sets(texts[lo:lo + 1024])
                 sids += [set_id(s) for s in sets]
                 sizes += [len(s) for s in sets]
-                every = np.concatenate(sets)
-                counts += np.bincount((every >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(counts))
+                at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.uint32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 65535)
             k = len(texts)
             yield _table("kind doc_id sid n chunk counts", [np.zeros(k, np.int32), b.column(0), np.array(sids, np.int64), np.array(sizes, np.int64), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())])
         if any_row:
-            small = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
-            k = CHUNKS
+            small, k = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1), CHUNKS
             yield _table("kind doc_id sid n chunk counts", [np.ones(k, np.int32), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), np.arange(k, dtype=np.int32), pa.array([r.tobytes() for r in small], pa.binary())])
 
     return docs.mapInArrow(run, "kind int, doc_id long, sid long, n long, chunk int, counts binary")
 
 
 def rarity(scanned: DataFrame) -> np.ndarray:
-    """log2 of each hashed counter: a table of fixed size (2^COUNTERS bytes)."""
+    """All hashed counters: a table of fixed size (2 x 2^COUNTERS bytes).  Every counter
+    holds about as many rare shingles as any other, so it tells shingles apart whose
+    count exceeds the spread of that number, a few times its square root."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done():
-            return _table("chunk levels", [np.array([now], np.int32), pa.array([np.frexp(total.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())])
+            return _table("chunk levels", [np.array([now], np.int32), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())])
 
         for b in batches:
             for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -172,15 +178,15 @@ def rarity(scanned: DataFrame) -> np.ndarray:
             yield done()
 
     chunks = scanned.where("kind = 1").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    out = np.zeros((CHUNKS, (1 << COUNTERS) // CHUNKS), dtype=np.uint8)
+    out = np.zeros((CHUNKS, (1 << COUNTERS) // CHUNKS), dtype=np.uint16)
     for r in chunks.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
-        out[r.chunk] = np.frombuffer(r.levels, dtype=np.uint8)
+        out[r.chunk] = np.frombuffer(r.levels, dtype=np.uint16)
     return out.reshape(-1)
 
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set in the global order: rare shingles first, then by hash."""
-    key = (levels[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+    key = (levels[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
     return s[np.argsort(key, kind="stable")]
 
 
@@ -381,6 +387,32 @@ def open_pairs(rows: DataFrame, undecided: DataFrame) -> DataFrame:
             .where(f"distance - slack <= {1 - PERCENT / 100} + 1e-9").select("a", "b").distinct())
 
 
+def labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets with links and their components, rows of lists with label, leader and distance to it)."""
+    label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jac-label")
+    lead = links.where(F.col("d") <= REACH).groupBy(F.col("b").alias("_sid")).agg(F.min(F.struct("d", F.col("a").alias("leader"))).alias("l"))
+    facts = materialize(label.join(lead, F.col("node") == F.col("_sid"), "left").select(
+        F.col("node").alias("_node"), F.col("component").alias("label"), F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.d", F.lit(0.0)).alias("d")), "jac-facts")
+    rows = lists.join(facts, F.col("sid") == F.col("_node"), "left").select(
+        "list", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"), F.coalesce("leader", "sid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    return label, materialize(rows, "jac-rows")
+
+
+def star_pairs(rows: DataFrame, r: int) -> DataFrame:
+    """(a, b): in lists where many components meet, one entry with each of the others it may link.
+
+    The entry is the one of smallest hash in this round, so that lists with the same
+    sets ask for the same pairs: a linear number, however crowded a list is."""
+    order = F.struct(F.xxhash64(F.lit(r), "sid").alias("h"), "sid", "label", "n", "pos")
+    centre = rows.groupBy("list").agg(F.approx_count_distinct("label").alias("labels"), F.min(order).alias("c")).where(f"labels > {CROWD}")
+    centre = materialize(centre.select(F.col("list").alias("_list"), F.col("c.sid").alias("a"), F.col("c.label").alias("_label"), F.col("c.n").alias("_n"), F.col("c.pos").alias("_pos")), "jac-centre")
+    met = rows.join(centre, (F.col("list") == F.col("_list")) & (F.col("label") != F.col("_label")))
+    small, large, p_small, p_large = F.least("n", "_n"), F.greatest("n", "_n"), F.when(F.col("n") <= F.col("_n"), F.col("pos")).otherwise(F.col("_pos")), F.when(F.col("n") <= F.col("_n"), F.col("_pos")).otherwise(F.col("pos"))
+    need = F.ceil(F.lit(PERCENT) * (small + large) / (100 + PERCENT))
+    fits = (100 * small >= PERCENT * large) & (1 + F.least(small - p_small - 1, large - p_large - 1) >= need)
+    return met.where(fits).select("a", F.col("sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row per document."""
     spark = docs.sparkSession
@@ -406,14 +438,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = join_small(d, named, F.col("doc_id") == F.col("_rep")).select("sid", "text")
     sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"]), "jac-sets")
-    done = materialize(verify(first, sets).where(LINKED).withColumn("d", F.expr(DISTANCE)), "jac-first")
-    label = materialize(components(done.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jac-label")
-    lead = done.groupBy(F.col("b").alias("_sid")).agg(F.min(F.struct("d", F.col("a").alias("leader"))).alias("l"))
-    facts = materialize(label.join(lead, F.col("node") == F.col("_sid"), "left").select(
-        F.col("node").alias("_node"), F.col("component").alias("label"), F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.d", F.lit(0.0)).alias("d")), "jac-facts")
-    rows = lists.join(facts, F.col("sid") == F.col("_node"), "left").select(
-        "list", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"), F.coalesce("leader", "sid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    rows = materialize(rows, "jac-rows")
+    links = materialize(verify(first, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-first")
+    tried, label, rows = first, *labelled(lists, links)
+    for r in range(STAR_ROUNDS):
+        pairs = star_pairs(rows, r).join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "jac-star")
+        n_pairs = pairs.count()
+        if not n_pairs:
+            break
+        more = materialize(verify(pairs, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-star-links")
+        if STAR_WORTH * more.count() < n_pairs:      # crowded by sets that are not alike: compare leaders instead
+            links = links.union(more)
+            label, rows = labelled(lists, links)
+            break
+        links, tried = links.union(more), tried.union(pairs)
+        discard(rows)
+        label, rows = labelled(lists, links)
     mixed_lists = materialize(rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("list").alias("_list")), "jac-mixed")
     rows = materialize(rows.join(mixed_lists, F.col("list") == F.col("_list")).drop("_list"), "jac-open-rows")
     between = materialize(verify(leader_pairs(rows), sets).withColumn("distance", F.expr(DISTANCE)), "jac-leaders")
