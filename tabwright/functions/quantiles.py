@@ -16,7 +16,7 @@ Interpolation is the usual ``v[floor(pos)] + frac * (v[ceil(pos)] - v[floor(pos)
 with ``pos = p * (n - 1)`` (pandas / DuckDB ``quantile_cont`` semantics).
 Groups with at most ``accuracy`` values use Spark's exact ``percentile``
 directly (its buffer is then bounded by ``accuracy``); only larger groups take
-the refine path, where the widened window spans at least two ranks either side
+the refine path, with the same answers (tested, null groups included), where the widened window spans at least two ranks either side
 of the target.
 """
 
@@ -30,8 +30,15 @@ def quantiles_long(long_df: DataFrame, group_cols: list[str], value_col: str, pr
                    exact: bool = True, accuracy: int = 100_000, small_groups_first: bool = True,
                    max_groups: int = 10_000) -> DataFrame:
     """-> (group_cols..., prob double, value double); nulls ignored, groups with no values omitted."""
+    # one struct key: struct equality holds for null fields too, so a null group joins its own bounds
+    named, group_cols = group_cols, ["_g"]
     v = F.col(value_col).cast("double")
-    base = long_df.where(F.col(value_col).isNotNull()).select(*group_cols, v.alias("_v"))
+    base = long_df.where(F.col(value_col).isNotNull()).select(F.struct(*named).alias("_g"), v.alias("_v"))
+    return _quantiles(base, group_cols, probs, exact, accuracy, small_groups_first, max_groups).select(
+        *[F.col("_g")[c].alias(c) for c in named], "prob", "value")
+
+
+def _quantiles(base: DataFrame, group_cols: list[str], probs: list[float], exact: bool, accuracy: int, small_groups_first: bool, max_groups: int) -> DataFrame:
     probs = [float(p) for p in probs]
     if not exact:
         q = base.groupBy(*group_cols).agg(F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))

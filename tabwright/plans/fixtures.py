@@ -2,7 +2,7 @@
 
 * ``dirty_events`` - the events table with injected nulls, infinities, a
   sparse column, a constant column, a collinear pair and duplicated rows
-  (the driver tables hold none of these).  Same definition as ``DIRTY_SQL``.
+  (the driver tables hold none of these).
 * ``scored_orders`` - a rule-scored (label, prediction, score) table on
   ``orders`` for exact metric oracles.
 """
@@ -14,21 +14,6 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
-DIRTY_SQL = """
-WITH d AS (
-  SELECT event_id, user_id,
-    CASE WHEN event_id % 23 = 0 THEN NULL ELSE event_type END AS event_type,
-    CASE WHEN event_id % 17 = 0 THEN NULL
-         WHEN event_id % 101 = 0 THEN CAST('Infinity' AS DOUBLE)
-         ELSE value END AS value,
-    CASE WHEN event_id % 40 = 0 THEN value END AS sparse_col,
-    CAST(1 AS INT) AS const_col,
-    value * 2 + 1 AS value_x2,
-    CASE WHEN event_id % 29 = 0 THEN NULL
-         ELSE CAST(value > 60 AS INT) END AS target
-  FROM events)
-SELECT * FROM d UNION ALL SELECT * FROM d WHERE event_id % 50 = 0
-"""
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:

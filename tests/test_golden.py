@@ -29,23 +29,23 @@ def sample(spark):
 def test_profile_golden(spark, sample):
     tables = {"sample": sample}
     p = P.profile_lake(spark, tables)
-    assert p["target_map"]["sample"] == "target"
-    tp = P.target_profile(p["catalog"], p["stats"], p["targets"]).collect()[0]
-    assert tp["task_type"] == "classification"
-    roles = {r["column_name"]: r["role"] for r in P.column_roles(p["catalog"], p["targets"]).collect()}
+    assert p.target_map["sample"] == "target"
+    tp = p.target_profile().collect()[0]
+    assert tp.task_type == "classification"
+    roles = {r["column_name"]: r["role"] for r in P.column_roles(p.catalog, p.targets).collect()}
     assert sum(v == "numeric" for v in roles.values()) == 4
     assert sum(v == "categorical" for v in roles.values()) == 3
-    t = P.table_profile(p["catalog"], p["stats"], p["targets"], p["dups"], p["topk"]).collect()[0]
+    t = p.table_profile().collect()[0]
     assert t["quality_score"] == 100
     assert t["risk_score"] == 9.5
     assert t["risk_quality"] == 97.0
     assert t["n_duplicates"] == 0
-    dom = P.domain_tags(p["catalog"], p["targets"]).collect()[0]
+    dom = P.domain_tags(p.catalog, p.targets).collect()[0]
     assert (dom["business_domain"], dom["industry"]) == ("time_series", "operations")
-    flags = P.name_flags(p["catalog"]).collect()
+    flags = P.name_flags(p.catalog).collect()
     assert [r["column_name"] for r in flags if r["sensitive"]] == ["income"]
     assert not any(r["pii"] for r in flags)
-    dist = {r["value"]: r["n"] for r in p["counts"].collect()}
+    dist = {r["value"]: r["n"] for r in p.counts.collect()}
     assert dist == {"0": 18, "1": 12}
 
 

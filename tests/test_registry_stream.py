@@ -31,4 +31,4 @@ def test_registry_append_compare_history(spark):
 def test_stream_scores_every_row(spark):
     out = q_predict_stream(spark, SF0001)
     assert out.count() == out.select("doc_id").distinct().count() > 0
-    assert set(out.columns) == {"doc_id", "quality", "prediction_index"}
+    assert set(out.columns) == {"doc_id", "quality", "prediction"}
