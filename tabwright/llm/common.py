@@ -52,11 +52,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (lineage ends here)."""
+def materialize(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (lineage ends here).
+
+    ``light``: rows of a few numbers, written in two files a core at most (files
+    are dear on every file system, and on a local one each costs two processes)."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    (df.coalesce(2 * max(2, spark.sparkContext.defaultParallelism)) if light else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

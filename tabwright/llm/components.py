@@ -20,13 +20,13 @@ MAX_ROUNDS = 60
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("v", "u")).where("u != v") if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least", True)
     near = both.join(least.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u"))
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    done = materialize(out.where("u != v").distinct(), "cc-edges")
+    done = materialize(out.where("u != v").distinct(), "cc-edges", True)
     discard(least)
     return done
 
@@ -34,7 +34,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; ``edges`` has two long columns u, v.
     The component is its least node.  No edges: no rows."""
-    edges = materialize(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    edges = materialize(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges", True)
     state = None
     for _ in range(MAX_ROUNDS):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -124,7 +124,7 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
 
     signed = materialize(classes.mapInArrow(sign, "cls long, m long, x binary, sig binary, keys array<long>"), "lsh-signed")
     hot = materialize(signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("_n"))
-                      .where(F.col("_n") > BLOCK).select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "lsh-hot")
+                      .where(F.col("_n") > BLOCK).select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "lsh-hot", True)
     rows = signed.select("cls", "m", "x", "sig", F.posexplode("keys").alias("t", "key"))
     rows = rows.join(hot, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")), "left").drop("_t", "_k")
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
@@ -189,11 +189,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     d = d.withColumn("vkey", F.sha2(F.to_json("v").cast("binary"), 256))
     grouped = d.where("v IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
     classes = materialize(grouped, "lsh-classes")
-    found = materialize(links(classes.select("cls", "m", "v"), classes.count(), cosine), "lsh-links")
+    found = materialize(links(classes.select("cls", "m", "v"), classes.count(), cosine), "lsh-links", True)
     groups = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     weights = found.groupBy("cls").agg(F.sum("weight").alias("weight"))
     per = materialize(classes.select("vkey", "cls", "m").join(weights, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-                      .select(F.col("vkey").alias("_vkey"), (F.coalesce("weight", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "lsh-per-class")
+                      .select(F.col("vkey").alias("_vkey"), (F.coalesce("weight", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "lsh-per-class", True)
     out = d.select("vec_id", "vkey").join(per, F.col("vkey") == F.col("_vkey"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -389,13 +389,13 @@ def open_pairs(rows: DataFrame, undecided: DataFrame) -> DataFrame:
 
 def labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets with links and their components, rows of lists with label, leader and distance to it)."""
-    label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jac-label")
+    label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jac-label", True)
     lead = links.where(F.col("d") <= REACH).groupBy(F.col("b").alias("_sid")).agg(F.min(F.struct("d", F.col("a").alias("leader"))).alias("l"))
     facts = materialize(label.join(lead, F.col("node") == F.col("_sid"), "left").select(
-        F.col("node").alias("_node"), F.col("component").alias("label"), F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.d", F.lit(0.0)).alias("d")), "jac-facts")
+        F.col("node").alias("_node"), F.col("component").alias("label"), F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.d", F.lit(0.0)).alias("d")), "jac-facts", True)
     rows = lists.join(facts, F.col("sid") == F.col("_node"), "left").select(
         "list", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"), F.coalesce("leader", "sid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    return label, materialize(rows, "jac-rows")
+    return label, materialize(rows, "jac-rows", True)
 
 
 def star_pairs(rows: DataFrame, r: int) -> DataFrame:
@@ -405,7 +405,7 @@ def star_pairs(rows: DataFrame, r: int) -> DataFrame:
     sets ask for the same pairs: a linear number, however crowded a list is."""
     order = F.struct(F.xxhash64(F.lit(r), "sid").alias("h"), "sid", "label", "n", "pos")
     centre = rows.groupBy("list").agg(F.approx_count_distinct("label").alias("labels"), F.min(order).alias("c")).where(f"labels > {CROWD}")
-    centre = materialize(centre.select(F.col("list").alias("_list"), F.col("c.sid").alias("a"), F.col("c.label").alias("_label"), F.col("c.n").alias("_n"), F.col("c.pos").alias("_pos")), "jac-centre")
+    centre = materialize(centre.select(F.col("list").alias("_list"), F.col("c.sid").alias("a"), F.col("c.label").alias("_label"), F.col("c.n").alias("_n"), F.col("c.pos").alias("_pos")), "jac-centre", True)
     met = rows.join(centre, (F.col("list") == F.col("_list")) & (F.col("label") != F.col("_label")))
     small, large, p_small, p_large = F.least("n", "_n"), F.greatest("n", "_n"), F.when(F.col("n") <= F.col("_n"), F.col("pos")).otherwise(F.col("_pos")), F.when(F.col("n") <= F.col("_n"), F.col("_pos")).otherwise(F.col("pos"))
     need = F.ceil(F.lit(PERCENT) * (small + large) / (100 + PERCENT))
@@ -420,14 +420,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = materialize(scan_sets(d), "jac-scan")
     own = scanned.where("kind = 0").select("doc_id", "sid", "n")
-    classes = materialize(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "jac-classes")
+    classes = materialize(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "jac-classes", True)
     levels = spark.sparkContext.broadcast(rarity(scanned))
     part_bits = max(4, min(15, math.ceil(math.log2(max(1, classes.count() / DOCS_PER_PART)))))
     answered = materialize(answer_lists(postings(d, levels, part_bits)), "jac-lists")
     lists = answered.where("kind = 0").select("list", "sid", "n", "pos")
     first = answered.where("kind = 1").select(F.col("list").alias("a"), F.col("sid").alias("b")).distinct()
     # the sets that lists name, read again from their documents
-    named = materialize(lists.select("sid").distinct().join(classes, "sid").select("sid", F.col("rep").alias("_rep")), "jac-named")
+    named = materialize(lists.select("sid").distinct().join(classes, "sid").select("sid", F.col("rep").alias("_rep")), "jac-named", True)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,15 +438,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = join_small(d, named, F.col("doc_id") == F.col("_rep")).select("sid", "text")
     sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"]), "jac-sets")
-    links = materialize(verify(first, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-first")
+    links = materialize(verify(first, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-first", True)
     tried, label, rows = first, *labelled(lists, links)
     for r in range(STAR_ROUNDS):
         pairs = star_pairs(rows, r).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "jac-star")
+        pairs = materialize(pairs, "jac-star", True)
         n_pairs = pairs.count()
         if not n_pairs:
             break
-        more = materialize(verify(pairs, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-star-links")
+        more = materialize(verify(pairs, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-star-links", True)
         if STAR_WORTH * more.count() < n_pairs:      # crowded by sets that are not alike: compare leaders instead
             links = links.union(more)
             label, rows = labelled(lists, links)
@@ -454,25 +454,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links, tried = links.union(more), tried.union(pairs)
         discard(rows)
         label, rows = labelled(lists, links)
-    mixed_lists = materialize(rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("list").alias("_list")), "jac-mixed")
-    rows = materialize(rows.join(mixed_lists, F.col("list") == F.col("_list")).drop("_list"), "jac-open-rows")
-    between = materialize(verify(leader_pairs(rows), sets).withColumn("distance", F.expr(DISTANCE)), "jac-leaders")
-    reach = materialize(rows.groupBy("leader").agg(F.max("d").alias("reach")).where("reach > 0"), "jac-reach")
+    mixed_lists = materialize(rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("list").alias("_list")), "jac-mixed", True)
+    rows = materialize(rows.join(mixed_lists, F.col("list") == F.col("_list")).drop("_list"), "jac-open-rows", True)
+    between = materialize(verify(leader_pairs(rows), sets).withColumn("distance", F.expr(DISTANCE)), "jac-leaders", True)
+    reach = materialize(rows.groupBy("leader").agg(F.max("d").alias("reach")).where("reach > 0"), "jac-reach", True)
     ra, rb = (reach.select(F.col("leader").alias(f"_{c}"), F.col("reach").alias(f"r{c}")) for c in "ab")
     undecided = materialize(between.where(f"NOT ({LINKED})").join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
-                            .where(f"distance - coalesce(ra, 0) - coalesce(rb, 0) <= {1 - PERCENT / 100} + 1e-9").select("a", "b", "distance"), "jac-undecided")
+                            .where(f"distance - coalesce(ra, 0) - coalesce(rb, 0) <= {1 - PERCENT / 100} + 1e-9").select("a", "b", "distance"), "jac-undecided", True)
     more = between.where(LINKED).select("a", "b")
     if undecided.limit(1).count():
-        more = more.union(verify(materialize(open_pairs(rows, undecided), "jac-open"), sets).where(LINKED).select("a", "b"))
+        more = more.union(verify(materialize(open_pairs(rows, undecided), "jac-open", True), sets).where(LINKED).select("a", "b"))
     # links between components join their labels
     la, lb = (label.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"l{c}")) for c in "ab")
     joined = (more.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
               .select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")))
-    merged = materialize(components(joined).withColumnRenamed("node", "_label").withColumnRenamed("component", "_to"), "jac-merged")
+    merged = materialize(components(joined).withColumnRenamed("node", "_label").withColumnRenamed("component", "_to"), "jac-merged", True)
     final = classes.join(label.withColumnRenamed("node", "_node"), F.col("sid") == F.col("_node"), "left").select(
         "sid", "rep", F.coalesce("component", "sid").alias("label"))
     final = final.join(merged, F.col("label") == F.col("_label"), "left").select("sid", "rep", F.coalesce("_to", "label").alias("label"))
-    least = materialize(final.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "_l"), "jac-least")
-    final = materialize(final.join(least, F.col("label") == F.col("_l")).select(F.col("sid").alias("_sid"), "component_id"), "jac-final")
+    least = materialize(final.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "_l"), "jac-least", True)
+    final = materialize(final.join(least, F.col("label") == F.col("_l")).select(F.col("sid").alias("_sid"), "component_id"), "jac-final", True)
     return own.join(final, F.col("sid") == F.col("_sid"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

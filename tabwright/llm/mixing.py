@@ -97,10 +97,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``rows``: also ``row``, a struct of the document's own columns (texts are read again, not joined)."""
     base = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    src = materialize(source_targets(base, weights, share_percent, max_repeat), "mix-targets")
+    src = materialize(source_targets(base, weights, share_percent, max_repeat), "mix-targets", True)
     size = F.col("s_size").cast("double")
     whole = F.when(F.col("s_size") == 0, F.lit(0.0)).otherwise(F.least(F.floor(F.col("target") / size), F.lit(max_repeat)))
-    src = materialize(src.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * size), "mix-need")
+    src = materialize(src.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * size), "mix-need", True)
     most = src.agg(F.max("s_n")).first()[0] or 1
     buckets = 1 << max(10, math.ceil(math.log2(most / ROWS_PER_BUCKET + 1)))
     known = ranked(base, src, buckets)
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # words of all buckets that fit whole, and the bucket in which the sum passes
     cut = materialize(sums.groupBy(F.col("src").alias("_src")).agg(
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.lit(0)).alias("fit"),
-        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("edge")), "mix-cut")
+        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("edge")), "mix-cut", True)
     same = F.col("src").eqNullSafe(F.col("_src"))
     near = join_small(known, cut, same).where(F.col("bucket") == F.col("edge"))
     near = near.withColumn("upto", F.col("fit") + F.sum("size").over(Window.partitionBy("src").orderBy("rank", "doc_id")))
@@ -117,12 +117,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.max(F.when(F.col("upto") <= F.col("need"), F.struct("rank", F.col("doc_id").isNotNull().alias("i"), "doc_id"))).alias("last"),
         F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).alias("got")))
     cut = materialize(cut.join(ends, F.col("_src").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-                      .withColumn("got", F.coalesce("got", "fit")), "mix-ends")
+                      .withColumn("got", F.coalesce("got", "fit")), "mix-ends", True)
     off = F.abs(F.col("size") - F.col("gap"))
     closing = (drawn(join_small(known, cut, same)).where("rank IS NOT NULL AND NOT inside").where(off < F.col("gap"))
                .groupBy(F.col("src").alias("_s3")).agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("c")))
     cut = materialize(cut.join(closing, F.col("_src").eqNullSafe(F.col("_s3")), "left").drop("_s3")
-                      .withColumn("closing", F.struct("c.rank", "c.doc_id")).drop("c"), "mix-closing")
+                      .withColumn("closing", F.struct("c.rank", "c.doc_id")).drop("c"), "mix-closing", True)
     if rows:
         own = sized(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         known = ranked(own, src, buckets)

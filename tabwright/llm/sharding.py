@@ -61,7 +61,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     share = F.greatest(F.col("size") / cap[0], F.col("tokens") / cap[1], F.col("n") / cap[2])
     # at most 3 * GRAIN * shards rows: each takes 1/GRAIN of a shard in a dimension
     own = materialize(light.groupBy("text_key").agg(*sums).withColumn("share", share).where(F.col("share") >= 1 / GRAIN)
-                      .select("text_key", F.when(F.col("share") > WHOLE, F.ceil(F.col("share") / (WHOLE / 4))).otherwise(1).cast("long").alias("parts")), "shard-own")
+                      .select("text_key", F.when(F.col("share") > WHOLE, F.ceil(F.col("share") / (WHOLE / 4))).otherwise(1).cast("long").alias("parts")), "shard-own", True)
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))
     bundle = F.pmod(F.xxhash64("text_key"), F.lit(BUNDLES_PER_SHARD * shards))
     units = light.join(F.broadcast(own), "text_key", "left").withColumn(
@@ -74,7 +74,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(cells)))
     counts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    start = materialize(counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "shard-start")
+    start = materialize(counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "shard-start", True)
     slot = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "crc", "size")) - 1
     return join_small(placed.withColumn("slot", slot.cast("long")), start, ["shard", "cell"]).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("slot") + F.col("start")).alias("slot"))
