@@ -54,7 +54,7 @@ CROWD = 24             # components in a list from which stars are tried before
 STAR_ROUNDS = 8
 REACH = 0.17           # a leader is this near at most; other sets are their own leaders
 STAR_WORTH = 20        # a round is worth another if one in so many of its pairs links
-FLUSH = 2_000_000      # postings a worker holds before it ships them
+FLUSH = 1_000_000      # postings a worker holds before it ships them
 REMEMBERED = 200_000
 _B = 0x9E3779B97F4A7C15
 
