@@ -283,3 +283,18 @@ def test_language_model_of_nothing(spark):
     got = bloom_lm.score(df, df.where("false")).collect()
     assert len(got) == 6 and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got)
     assert bloom_lm.score(docs(spark, []), docs(spark, [])).count() == 0
+
+
+def test_language_model_grows_with_its_corpus(spark, monkeypatch):
+    """No bound on the filter: with a small one, pairs used to be dropped by their counts, then words read back false."""
+    monkeypatch.setattr(bloom_lm, "FILTER_BYTES", 1 << 10, raising=False)
+    monkeypatch.setattr(bloom_lm, "LOT", 500, raising=False)
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 200)
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.4)) % 900}" for _ in range(80)) for _ in range(120)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts + texts[:60])]
+    df = docs(spark, rows).withColumn("held_out", bloom_lm.held_out())
+    one = model_by_counting(rows)
+    for r in bloom_lm.score(df, df.where("NOT held_out"), keep=("text",)).collect():
+        want = one(r.text)
+        assert (r.n_tokens, r.n_known) == want[:2] and r.base_score == pytest.approx(want[3], abs=1e-8) and r.score == pytest.approx(want[4], abs=1e-6)
