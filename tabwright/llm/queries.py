@@ -33,7 +33,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bloom_lm")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", bloom_lm.held_out())
-    return bloom_lm.score(docs, docs.where("NOT held_out"), keep=("held_out",))
+    return bloom_lm.score(docs, docs.where("NOT held_out"), keep=("held_out",), least_pair=1)
 
 
 @query("op10_mixing", mixing.SQL)

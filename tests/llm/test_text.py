@@ -298,3 +298,16 @@ def test_language_model_grows_with_its_corpus(spark, monkeypatch):
     for r in bloom_lm.score(df, df.where("NOT held_out"), keep=("text",)).collect():
         want = one(r.text)
         assert (r.n_tokens, r.n_known) == want[:2] and r.base_score == pytest.approx(want[3], abs=1e-8) and r.score == pytest.approx(want[4], abs=1e-6)
+
+
+def test_language_model_query_keeps_pairs_seen_once(spark, monkeypatch, tmp_path):
+    from tabwright.llm.queries import queries
+
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 200)
+    rows = [r for r in odd_rows() if r[0] is not None]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    one, twice, text = model_by_counting(rows, stored=1), model_by_counting(rows), {r[0]: r[1] for r in rows}
+    got = queries()["op9_bloom_lm"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert all(r.score == pytest.approx(one(text[r.doc_id])[4], abs=1e-6) for r in got)
+    assert any(one(t)[4] > twice(t)[4] + 1 for t in text.values())
