@@ -35,16 +35,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; one of rows that repeat an id."""
-    found = materialize(jaccard_join.near_duplicates(docs), "pipeline-groups")
-    per_id = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-                         .where("c != doc_id OR n > 1").select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"), F.col("n").alias("_n")), "pipeline-dropped")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")) == F.col("_id")
-    kept = join_small(docs, per_id, own, "left").where("_id IS NULL OR _c = _id")
-    once = kept.where("_id IS NULL").select(docs.columns)
-    if not per_id.where("_n > 1").limit(1).count():
+    """Of each group of near copies the row with the smallest id (null is -1), of one id that with the smallest row key.
+
+    Rows are told apart by a digest of all their columns (maps aside), never by their id:
+    unlike texts without an id, or under the same one, all stay."""
+    parts = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    key = F.xxhash64(*parts, *[p.isNull() for p in parts])       # a null alone leaves the digest as it is
+    keyed = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("id"), "text")
+    found = materialize(jaccard_join.near_duplicates(keyed, "key"), "pipeline-groups")
+    rows = found.groupBy(F.col("doc_id").alias("_k")).agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(found.groupBy(F.col("component_id").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c"), "pipeline-copied", True)
+    copies = materialize(join_small(rows, groups, F.col("c") == F.col("_c")).select("_k", "c", "n"), "pipeline-copies", True)
+    first = materialize(join_small(keyed.select("key", "id"), copies, F.col("key") == F.col("_k")).groupBy(F.col("c").alias("_c"))
+                        .agg(F.min(F.struct("id", "key")).alias("l")).select("_c", F.col("l.key").alias("_first")), "pipeline-first", True)
+    copies = materialize(join_small(copies, first, F.col("c") == F.col("_c")).select("_k", "n", (F.col("_k") == F.col("_first")).alias("stays")), "pipeline-dropped", True)
+    kept = join_small(docs.select(key.alias("key"), _row(docs)), copies, F.col("key") == F.col("_k"), "left").where("_k IS NULL OR stays")
+    once = kept.where("_k IS NULL OR n = 1").select("_row.*")
+    if not copies.where("stays AND n > 1").limit(1).count():
         return once
-    return once.union(kept.where("_n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.union(kept.where("n > 1").dropDuplicates(["key"]).select("_row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

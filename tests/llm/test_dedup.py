@@ -240,3 +240,19 @@ def test_pipeline_runs_and_its_decisions_take_effect(spark):
     d = spark.read.parquet(f"{SF0001}/documents.parquet").collect()
     groups = brute_components([r.doc_id for r in d], [shingles(r.text) for r in d])
     assert ids <= set(groups) and len(ids) > 0.6 * len(set(groups))
+
+
+def test_pipeline_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    text = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(None, a, "en", "a"), (None, b, "en", "a"), (None, b, "en", "b"), (None, b, "en", "b"),      # no ids
+            (7, c, "en", "a"), (7, d, "en", "a"), (7, d, None, "en"), (7, d, "en", None),                # an id with two texts
+            (3, e, "en", "a"), (8, e + " more", "en", "a"), (8, f, "en", "a"),                          # one of them a copy of a smaller id's
+            (9, g, "en", "a"), (9, g, "en", "a"), (10, g, "en", "a"), (None, c + " x", "en", "a")]
+    start = docs(spark, rows)
+    runs = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, start.repartition(k), SF0001).collect()), key=str) for k in (1, 3)]
+    assert runs[0] == runs[1]
+    assert sorted(((-1 if r[0] is None else r[0]), r[1]) for r in runs[0]) == sorted([(-1, a), (-1, b), (-1, c + " x"), (7, d), (3, e), (8, f), (9, g)])
