@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, euclid_lsh, jaccard_join, langid, mixing, packing, pii, quality_rules, sharding, warc
+from . import (bloom_lm, compress_quality, euclid_lsh, jaccard_join, langid, lexical_search, mixing, packing, pii, quality_rules,
+               sharding, warc, whitening)
 from .common import read_table
 from .registry import ORACLES, QUERIES, query
 
@@ -69,6 +70,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_compression_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = compress_quality.held_out()
+    model = compress_quality.train(docs.where(~held_out), labels.where(~held_out))
+    return compress_quality.score(docs, model).withColumn("held_out", held_out)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null where the deviation is beyond a long (n of hundreds of millions): the operator's is a decimal."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return dict(QUERIES)
 
