@@ -141,6 +141,37 @@ def to_spark(name: str, point: dict) -> dict:
     return out
 
 
+def chains(jobs: list[tuple[str, dict | None]], n_classes: int) -> list[tuple[str, dict | None, list[tuple[int, tuple[int, int] | None]]]]:
+    """Jobs that one fit answers together: (name, parameters of the fit, [(job, (trees, depth))]).
+
+    A tree grown deep holds the shallower ones, a forest's first trees are a forest and a
+    boosted chain's first rounds the shorter chain (``trees``).  Other jobs, and those
+    without a partner, come back alone, with None for the point."""
+    groups: dict = {}
+    for j, (name, params) in enumerate(jobs):
+        kind, p = family(name), dict(params or {})
+        if kind == "Random Forest" and "numTrees" in p:
+            point = (p.pop("numTrees"), p.pop("maxDepth", MAX_DEPTH))
+        elif kind == "Decision Tree" and "maxDepth" in p:
+            point = (1, p.pop("maxDepth"))
+        elif kind in BOOSTERS and "maxIter" in p and (name.endswith("Regressor") or n_classes <= 2):
+            point = (p.pop("maxIter"), p.get("maxDepth", MAX_DEPTH))
+        else:
+            groups[j] = [(j, None)]
+            continue
+        groups.setdefault((name, tuple(sorted(p.items()))), []).append((j, point))
+    out = []
+    for members in groups.values():
+        name, params = jobs[members[0][0]]
+        if len(members) == 1:
+            out.append((name, params, [(members[0][0], None)]))
+            continue
+        trees, depth = max(t for _, (t, _) in members), max(d for _, (_, d) in members)
+        size = {"Random Forest": {"numTrees": trees, "maxDepth": depth}, "Decision Tree": {"maxDepth": depth}}.get(family(name), {"maxIter": trees})
+        out.append((name, dict(params or {}) | size, members))
+    return out
+
+
 def search_space(name: str, options: Options = DEFAULT) -> tuple[str, list[dict]]:
     """(strategy, param maps).  The reference's own number of combinations decides: a grid
     up to 20 of them and not a booster, else ``min(max_tuning_iterations, total)``

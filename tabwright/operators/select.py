@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
 from .features import Preprocessor, fit_preprocessor
-from .models import candidates, fallback_candidate, make_estimator, search_space
+from .models import candidates, chains, fallback_candidate, make_estimator, search_space
 from .split import choose_folds, fold_assign, fold_stratified, min_class_count
+from .trees import load, score_points
 
 
 @dataclass
@@ -95,10 +96,14 @@ def cv_score(pred: DataFrame, task_type: str, scoring: str) -> float:
 
 
 def cross_validate(ts: TrainSet, jobs: list[tuple[str, dict | None]], scoring: str, options: Options = DEFAULT, tuning: bool = False):
-    """-> {job index: (fold scores | None, error)}; a job that fails in a fold is not tried in the next."""
+    """-> {job index: (fold scores | None, error)}; a job that fails in a fold is not tried in the next.
+
+    Jobs that differ in trees, depth or rounds only are one fit a fold (``models.chains``),
+    whose prefixes are scored from its node table in one pass."""
     k, column = (ts.k_tune, "fold_tune") if tuning else (ts.k, "fold")
     scores: dict[int, list] = {j: [] for j in range(len(jobs))}
     errors: dict[int, str] = {}
+    spark, fits = ts.df.sparkSession, chains(jobs, max(2, len(ts.labels)))
     for f in range(k):
         tr, te = ts.df.where(F.col(column) != f), ts.df.where(F.col(column) == f)
         try:
@@ -110,16 +115,21 @@ def cross_validate(ts: TrainSet, jobs: list[tuple[str, dict | None]], scoring: s
         n_tr = trx.count()
         tex.count()
 
-        def run(j):
-            name, params = jobs[j]
+        def run(chain):
+            name, params, members = chain
             try:
                 model = make_estimator(name, n_tr, max(2, len(ts.labels)), options, params).fit(trx)
-                scores[j].append(cv_score(model.transform(tex), ts.task_type, scoring))
+                if members[0][1] is None:
+                    got = [cv_score(model.transform(tex), ts.task_type, scoring)]
+                else:
+                    got = score_points(load(spark, model), tex, [p for _, p in members], ts.task_type, scoring)
+                for (j, _), score in zip(members, got):
+                    scores[j].append(score)
             except Exception as e:  # a failing candidate is skipped (G8)
-                errors[j] = repr(e)[:200]
+                errors.update({j: repr(e)[:200] for j, _ in members})
 
         with ThreadPoolExecutor(max_workers=max(1, options.cv_parallelism)) as pool:
-            list(pool.map(run, [j for j in scores if j not in errors]))
+            list(pool.map(run, [c for c in fits if c[2][0][0] not in errors]))
         trx.unpersist()
         tex.unpersist()
     return {j: (None, errors[j]) if j in errors else (scores[j], None) for j in scores}

@@ -28,6 +28,7 @@ from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import rank as R
 from ..operators import select as SEL
+from ..operators import trees as TR
 from ..operators.clean import clean
 from ..operators.features import select_features
 from ..operators.split import min_class_count, sample_topn, split_random, split_stratified
@@ -88,7 +89,10 @@ def _explain(spark, sample: DataFrame, key: str, target: str, task: str, tr, ts,
         return p.withColumn("_out", SEL.positive_score(p) if len(ts.labels) == 2 and ("probability" in p.columns or "rawPrediction" in p.columns) else F.col("prediction"))
 
     background = sample_topn(rows, key, options.background_rows, options)
-    shap = X.shap_sampled(rows, background, key, "features", size, score_vectors, names, seed=options.seed)
+    if TR.is_trees(tr.model):              # exact; of other models the sampled values
+        shap = TR.shapley_importance(tr.model, rows, background, key, names)
+    else:
+        shap = X.shap_sampled(rows, background, key, "features", size, score_vectors, names, seed=options.seed)
     imps += [("shap", r["feature"], float(r["importance"])) for r in shap.collect()]
 
     def score_fn(frame, group):

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -12,6 +13,7 @@ from ..functions.hashing import sql_hash_unit
 from ..operators import explain as X
 from ..operators import features as FE
 from ..operators import select as SEL
+from ..operators import trees as T
 from ..operators.split import sample_topn
 from ..options import DEFAULT
 from ..sources.tables import read_table
@@ -20,12 +22,23 @@ from .q_runs import ORDER_RULES
 from .registry import query, r6
 
 SEED = DEFAULT.seed
-_HP = sql_hash_unit("p_partkey", SEED)
 PART_RULE = "CAST(900 + p_size * 10 + (p_partkey % 7) * 20 AS DOUBLE)"
 TREE_RULE = [e for _, n, e, _ in ORDER_RULES if n == "Decision Tree"][0]
 PERM_FEATURES = ["o_orderdate", "o_totalprice", "o_orderpriority"]
 
 
+#: p_size <= 20: (p_retailprice <= 908: 1, else 4); else (p_retailprice <= 912: 2, else 9)
+RULE_TREE = T.Ensemble([T.Tree(*map(np.array, ([0, 1, -1, -1, 1, -1, -1], [20.0, 908.0, np.nan, np.nan, 912.0, np.nan, np.nan])), [None] * 7,
+                               *map(np.array, ([1, 2, -1, -1, 5, -1, -1], [4, 3, -1, -1, 6, -1, -1])),
+                               np.array([[0.0], [0.0], [1.0], [4.0], [0.0], [2.0], [9.0]]), np.zeros(7))], [1.0], "mean")
+_RULE = "(CASE WHEN {s} <= 20 THEN CASE WHEN {r} <= 908 THEN 1.0 ELSE 4.0 END ELSE CASE WHEN {r} <= 912 THEN 2.0 ELSE 9.0 END END)"
+_XX, _XZ, _ZX, _ZZ = (_RULE.format(s=f"{a}.p_size", r=f"{b}.p_retailprice") for a in "xz" for b in "xz")
+RULE_TREE_SQL = f"""WITH z AS (SELECT p_size, p_retailprice FROM part ORDER BY p_partkey LIMIT {DEFAULT.background_rows}),
+phi AS (SELECT x.p_partkey, avg(({_XZ}) - ({_ZZ}) + ({_XX}) - ({_ZX})) / 2 AS a, avg(({_ZX}) - ({_ZZ}) + ({_XX}) - ({_XZ})) / 2 AS b
+        FROM part x, z GROUP BY x.p_partkey)
+SELECT 'p_size' AS feature, round(avg(abs(a)), 6) AS importance FROM phi UNION ALL SELECT 'p_retailprice', round(avg(abs(b)), 6) FROM phi"""
+
+
 def _ols_part(spark, sf_dir):
     p = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     va = VectorAssembler(inputCols=["p_size"], outputCol="features")
@@ -36,14 +49,12 @@ def _ols_part(spark, sf_dir):
 
 def _shap_linear(spark, sf_dir):
     d, m = _ols_part(spark, sf_dir)
-    bg = sample_topn(d, "p_partkey", DEFAULT.background_rows)
-    mu = X.vector_mean(bg, "features", 1)
+    mu = X.vector_mean(d, "features", 1)          # the background is every row: one aggregate
     return X.shap_linear(d, "features", list(m.coefficients.toArray()), mu, ["p_size"])
 
 
-SHAP_LINEAR_SQL = f"""sl AS (SELECT 'p_size' AS feature, avg(abs((SELECT regr_slope(p_retailprice, p_size) FROM part)
-   * (p_size - (SELECT avg(CAST(p_size AS DOUBLE)) FROM (SELECT p_size FROM part ORDER BY {_HP}, p_partkey LIMIT 50) b))))
-   AS importance FROM part)"""
+SHAP_LINEAR_SQL = """sl AS (SELECT 'p_size' AS feature, avg(abs((SELECT regr_slope(p_retailprice, p_size) FROM part)
+   * (p_size - (SELECT avg(CAST(p_size AS DOUBLE)) FROM part)))) AS importance FROM part)"""
 
 
 @query("shap_linear", sql=f"WITH {SHAP_LINEAR_SQL} SELECT feature, round(importance, 6) AS importance FROM sl")
@@ -53,17 +64,39 @@ def q_shap_linear(spark, sf_dir):
 
 @query("shap_sampled")
 def q_shap_sampled(spark, sf_dir):
-    """Sampled permutation Shapley of a random forest on part prices (all rows explained)."""
-    s, ts = part_trainset(spark, sf_dir)
-    pre, model = SEL.fit_final(ts, "Random Forest Regressor", None)
+    """Sampled permutation Shapley values of the logistic model's probability, a score without a
+    closed form; all rows explained (trees have exact values: ``shap_tree``)."""
+    s, ts = doc_trainset(spark, sf_dir)
+    pre, model = SEL.fit_final(ts, "Logistic Regression", None)
+    ts.release()
     rows = pre.transform(s)
-    bg = sample_topn(rows, "p_partkey", DEFAULT.background_rows)
-    size = len(pre.feature_names)
-    return X.shap_sampled(rows, bg, "p_partkey", "features", size,
-                          lambda d: model.transform(d).withColumn("_out", F.col("prediction")),
+    bg = sample_topn(rows, "doc_id", DEFAULT.background_rows)
+    return X.shap_sampled(rows, bg, "doc_id", "features", len(pre.feature_names),
+                          lambda d: model.transform(d).withColumn("_out", vector_to_array("probability")[1]),
                           pre.feature_names, seed=SEED)
 
 
+@query("shap_tree")
+def q_shap_tree(spark, sf_dir):
+    """Exact interventional Shapley values of the 300-tree forest on document quality, all rows explained."""
+    s, ts = doc_trainset(spark, sf_dir)
+    pre, model = SEL.fit_final(ts, "Random Forest", None)
+    ts.release()
+    rows = pre.transform(s)
+    bg = sample_topn(rows, "doc_id", DEFAULT.background_rows)
+    return T.shapley_importance(model, rows, bg, "doc_id", pre.feature_names)
+
+
+@query("shap_rule_tree", sql=RULE_TREE_SQL)
+def q_shap_rule_tree(spark, sf_dir):
+    """Shapley values of a given two-feature tree for every part, against the closed form of two features."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
+    rows = VectorAssembler(inputCols=["s", "r"], outputCol="features").transform(p)
+    bg = rows.orderBy("p_partkey").limit(DEFAULT.background_rows)
+    return T.shapley_importance(RULE_TREE, rows, bg, "p_partkey", ["p_size", "p_retailprice"]) \
+        .select("feature", r6("importance").alias("importance"))
+
+
 @query("native_importance")
 def q_native_importance(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
