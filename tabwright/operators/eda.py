@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
 from .stats import as_double, column_stats, to_long
+from ..functions import cross
 from ..functions.quantiles import quantiles_long
 
 
@@ -47,30 +48,37 @@ def describe(df: DataFrame, column: str, exact: bool = True, decimals: int = 4)
     return ml.unionByName(ql).select("stat", F.round("value", decimals).alias("value"))
 
 
-def corr_long(df: DataFrame, columns: list[str], chunk: int = 2000) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair i < j, long form.
-
-    One aggregate per chunk of pairs (n^2 growth is chunked); a constant
-    column yields NULL instead of a division-by-zero error.
-    """
-    pairs = list(combinations(columns, 2))
-    parts = []
-    for s in range(0, max(len(pairs), 1), chunk):
-        block = pairs[s:s + chunk]
-        if not block:
-            break
-        aggs = []
-        for i, (a, b) in enumerate(block):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, as_double(df, a)), F.when(both, as_double(df, b))
-            aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"_r{i}"))
-        row = df.agg(*aggs)
-        arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("r"))
-                        for i, (a, b) in enumerate(block)])
-        parts.append(row.select(F.explode(arr).alias("e")).select("e.*"))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("col_a", "col_b", F.when(F.isnan("r"), None).otherwise(F.col("r")).alias("r"))
+def corr_long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson r for every pair i < j, long form (col_a, col_b, r).
+
+    All pairs of up to ``cross.WIDTH`` columns come from one scan and one aggregate of
+    matrix products.  Pairs whose variance may be lost to rounding (a column that is
+    constant, or nearly, where the other has values) are taken again, each centred on its
+    own means.  NULL for a constant column and where a value is not finite."""
+    spark, schema = df.sparkSession, "col_a string, col_b string, r double"
+    block = columns if len(columns) <= cross.WIDTH else None
+    half = [columns] if block is not None else [columns[s:s + cross.WIDTH // 2] for s in range(0, len(columns), cross.WIDTH // 2)]
+    out, again = [], []
+    for i, a in enumerate(half):
+        for j, b in enumerate(half[i:], i):
+            if len(columns) < 2:
+                continue
+            r, unsure = cross.pearson(cross.pair_sums(df, [as_double(df, c) for c in a], [as_double(df, c) for c in b]))
+            for x, ca in enumerate(a):
+                for y, cb in enumerate(b):
+                    if i < j or x < y:
+                        (again if unsure[x, y] else out).append((ca, cb, None if math.isnan(r[x, y]) else float(r[x, y])))
+    for s in range(0, len(again), 200):
+        out += _centred(df, [(a, b) for a, b, _ in again[s:s + 200]])
+    place = {c: k for k, c in enumerate(columns)}
+    return spark.createDataFrame(sorted(out, key=lambda t: (place[t[0]], place[t[1]])), schema)
+
+
+def _centred(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa, xb = F.when(both, as_double(df, a)), F.when(both, as_double(df, b))
+        aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"_r{i}"))
+    got = df.agg(*aggs).first()
+    return [(a, b, None if v is None or math.isnan(v) else float(v)) for (a, b), v in zip(pairs, got)]

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cross import gram
 from ..functions.hashing import hash_unit
 from ..functions.ranking import hash_rank
 from ..options import DEFAULT, Options
@@ -169,13 +171,20 @@ def partial_dependence(df: DataFrame, features: list[str], predict: Callable[[Da
 
 
 # ------------------------------------------------------------------ I7
-def surrogate_ridge(df: DataFrame, features_col: str, prediction_col: str, alpha: float = 1.0):
-    """Ridge (alpha) of the model's predictions on its features; sklearn scaling
-    of the penalty: regParam = alpha / n, no standardization."""
-    n = df.count()
-    lr = LinearRegression(featuresCol=features_col, labelCol=prediction_col, regParam=alpha / max(1, n),
-                          elasticNetParam=0.0, standardization=False)
-    return lr.fit(df)
+@dataclass
+class Linear:
+    coefficients: DenseVector
+    intercept: float
+
+
+def surrogate_ridge(df: DataFrame, features: str | list[str], prediction_col: str, alpha: float = 1.0) -> Linear:
+    """Ridge (``alpha``, intercept not penalised) of the model's predictions on its features:
+    solved from Gram statistics, one scan.  No rows: no coefficients."""
+    g = gram(df, features, prediction_col)
+    if not g:
+        return Linear(DenseVector([]), 0.0)
+    coef, intercept = g[0].solve(alpha)
+    return Linear(DenseVector(coef), intercept)
 
 
 # ------------------------------------------------------------------ I8

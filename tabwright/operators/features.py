@@ -48,10 +48,11 @@ class FeatureSelection:
         return rows
 
 
-def select_features(train: DataFrame, target: str, options: Options = DEFAULT, exact: bool = True) -> FeatureSelection:
+def select_features(train: DataFrame, target: str, options: Options = DEFAULT) -> FeatureSelection:
     cols = [c for c in train.columns if c != target]
-    agg = train.agg(*[(F.countDistinct(c) if exact else F.approx_count_distinct(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).collect()[0]
-    low = [c for i, c in enumerate(cols) if agg[f"_d{i}"] <= 1]
+    # one value at most: least equals greatest (both null without any); plain partial aggregates
+    same = train.agg(*[F.min(c).eqNullSafe(F.max(c)).alias(f"_s{i}") for i, c in enumerate(cols)]).collect()[0]
+    low = [c for i, c in enumerate(cols) if same[f"_s{i}"]]
     sel = [c for c in cols if c not in low]
     num, cat = split_roles(train.select(*sel, target), target)
     dropped, pairs = [], []

@@ -178,6 +178,20 @@ def q_surrogate_ridge(spark, sf_dir):
     return spark.createDataFrame(coefs + [("intercept", float(sur.intercept))], "feature string, coefficient double")
 
 
+@query("surrogate_rule", sql=f"""WITH x AS (SELECT CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 7 AS DOUBLE) AS b, {PART_RULE} AS y FROM part),
+s AS (SELECT covar_pop(a, a) * count(*) + 1 AS aa, covar_pop(b, b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab,
+  covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
+c AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb, ma, mb, my FROM s)
+SELECT 'p_size' AS feature, round(ca, 6) AS coefficient FROM c UNION ALL SELECT 'part_day', round(cb, 6) FROM c
+UNION ALL SELECT 'intercept', round(my - ca * ma - cb * mb, 6) FROM c""")
+def q_surrogate_rule(spark, sf_dir):
+    """Ridge surrogate of a rule's predictions on two features; closed form in SQL."""
+    p = read_table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 7).alias("part_day"), F.expr(PART_RULE).alias("y"))
+    sur = X.surrogate_ridge(p, ["p_size", "part_day"], "y")
+    rows = [*zip(["p_size", "part_day"], map(float, sur.coefficients.toArray())), ("intercept", sur.intercept)]
+    return spark.createDataFrame(rows, "feature string, coefficient double").select("feature", r6("coefficient").alias("coefficient"))
+
+
 @query("error_topk", sql=f"""SELECT p_partkey, p_retailprice AS actual, {PART_RULE} AS prediction,
   round(p_retailprice - {PART_RULE}, 6) AS error FROM part
 ORDER BY abs(p_retailprice - {PART_RULE}) DESC, p_partkey LIMIT 20""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators.clean import clean, drop_duplicates, drop_null_target, replace_inf
+from ..options import DEFAULT
 from ..sources.tables import read_table
 from .fixtures import dirty_events
 from .q_clean import CLEANED_CTE, KEPT_CTE
@@ -56,6 +57,21 @@ def q_feat_correlated(spark, sf_dir):
         "col_a", "col_b", r6("r").alias("r"))
 
 
+_LINE = "SELECT l_quantity, l_tax, l_extendedprice, l_extendedprice * 1.07 + 3 AS gross, -l_tax AS refund, 1 AS one, l_linestatus FROM lineitem"
+_LINE_NUM = ["l_quantity", "l_tax", "l_extendedprice", "gross", "refund"]
+
+
+@query("feat_selection", sql=f"WITH l AS ({_LINE}), pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM l"
+    for i, a in enumerate(_LINE_NUM) for b in _LINE_NUM[i + 1:]) + f"""), gone AS (SELECT DISTINCT col_b FROM pairs WHERE abs(r) > {DEFAULT.correlation_drop})
+SELECT 'one' AS column_name, 'low_variance' AS action UNION ALL SELECT col_b, 'correlated' FROM gone
+UNION ALL SELECT c, 'numeric' FROM (VALUES {', '.join(f"('{c}')" for c in _LINE_NUM)}) t(c) WHERE c NOT IN (SELECT col_b FROM gone)""")
+def q_feat_selection(spark, sf_dir):
+    """F1, F2, F9 on columns of which one is constant and two are copies of others."""
+    line = read_table(spark, sf_dir, "lineitem").selectExpr(*_LINE.removeprefix("SELECT ").removesuffix(" FROM lineitem").split(", "))
+    return spark.createDataFrame(FE.select_features(line, "l_linestatus").report_rows(), "column_name string, action string")
+
+
 @query("feat_report", sql=f"""WITH {SEL_CTE}
 SELECT column_name, 'low_variance' AS action FROM nd WHERE n_distinct <= 1
 UNION ALL SELECT DISTINCT col_b, 'correlated' FROM pairs

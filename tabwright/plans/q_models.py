@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from ..functions.cross import gram, gram_cross_validate, total
 from ..operators import select as SEL
 from ..operators.split import split_stratified, split_random
 from ..options import DEFAULT
@@ -93,6 +94,21 @@ def q_train_linreg(spark, sf_dir):
         .select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n_rows")
 
 
+@query("cv_linreg", sql="""WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y, l_orderkey % 5 AS fold FROM lineitem),
+m AS (SELECT f.fold, regr_slope(p.y, p.x) AS b, regr_intercept(p.y, p.x) AS a FROM (SELECT DISTINCT fold FROM p) f JOIN p ON p.fold <> f.fold GROUP BY f.fold)
+SELECT p.fold, count(*) AS n_rows, round(any_value(b), 6) AS slope,
+  round(1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)), 6) AS r2 FROM p JOIN m USING (fold) GROUP BY p.fold""")
+def q_cv_linreg(spark, sf_dir):
+    """Cross-validated least squares of price on quantity from one scan: a fold's Gram
+    statistics are taken off the total, the rest solved, and the fold scored from its own."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_orderkey") % 5).alias("fold"))
+    grams = gram(li, ["l_quantity"], "l_extendedprice", "fold")
+    scores, whole = gram_cross_validate(grams), total(grams)
+    rows = [(f, int(g.n), float((whole - g).solve()[0][0]), float(scores[f])) for f, g in grams.items()]
+    return spark.createDataFrame(rows, "fold long, n_rows long, slope double, r2 double").select(
+        "fold", "n_rows", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"))
+
+
 @query("model_compare")
 def q_model_compare(spark, sf_dir):
     """The four candidates of the reference's published runs, at full size.  The three
