@@ -1,5 +1,14 @@
 """Exact (linearly interpolated) quantiles and modes without a global buffer.
 
+Columns of a frame take ``rank_quantiles``: each wanted rank of each column has a
+window of values that holds it.  A sketch of the values inside the windows narrows
+all of them together, a counting pass proves where they lie, and so on until every
+window is one value.  Both passes are plain aggregates over the frame with the
+windows as literals: nothing is joined, exploded, sorted or shuffled but a row of
+counters a task, whatever the number of rows or ties.
+
+Groups of a long table (``quantiles_long``) work as follows.
+
 Spark's exact ``percentile`` aggregate keeps a value->count map per group and
 merges it in one task, so a global quantile over a near-unique column would
 hold every distinct value in one place.  Here the exact answer is found in
@@ -22,10 +31,99 @@ of the target.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Aggregates in one pass; more windows take further passes.
+AGGREGATES = 120
+
+
+@dataclass
+class _Window:
+    column: int
+    rank: int                     # wanted, from 0, among the column's values
+    low: float | None = None      # both ends lie outside the window; None: open
+    high: float | None = None
+    below: int = 0                # values up to ``low``
+    inside: int = 0
+    value: float | None = None    # found
+    margin: int = 1               # grows if a count disproves the sketch
+
+    def holds(self, x):
+        ok = x.isNotNull()
+        if self.low is not None:
+            ok = ok & (x > F.lit(self.low))
+        return ok & (x < F.lit(self.high)) if self.high is not None else ok
+
+
+def _pass(df: DataFrame, exprs: list) -> list:
+    """Values of many aggregates, ``AGGREGATES`` to a scan."""
+    out: list = []
+    for s in range(0, len(exprs), AGGREGATES):
+        out += df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs[s:s + AGGREGATES])]).first()
+    return out
+
+
+def rank_quantiles(df: DataFrame, columns: list, probs: list[float], accuracy: int = 100_000) -> list[list[float | None]]:
+    """For each column expression its exact quantiles (None for a column without values).
+
+    Every round keeps, of the n values in a window, about 4 n / ``accuracy`` around the wanted
+    rank, so that two rounds do for ten billion values; a window of at most ``accuracy`` / 2 values
+    is answered by its sketch, which is lossless up to there.  NaN counts as the greatest value."""
+    x = [c.cast("double") for c in columns]
+    n = [int(v) for v in _pass(df, [F.count(c) for c in x])]
+    windows: dict[tuple[int, int], _Window] = {}
+    for i, total in enumerate(n):
+        for p in probs if total else ():
+            for r in (math.floor(p * (total - 1)), math.ceil(p * (total - 1))):
+                windows.setdefault((i, r), _Window(i, r, inside=total))
+    while todo := [w for w in windows.values() if w.value is None]:
+        asked = []
+        for w in todo:
+            at = w.rank - w.below
+            reach = 0 if 2 * w.inside <= accuracy else w.margin * math.ceil(2 * w.inside / accuracy)
+            ends = [max(0, at - reach), min(w.inside - 1, at + reach)]
+            v = F.when(w.holds(x[w.column]), x[w.column])
+            asked.append(F.percentile_approx(v, F.array(*[F.lit((e + 0.5) / w.inside) for e in ends]), accuracy))
+        ends = list(zip(todo, _pass(df, asked)))
+        for w, (low, _) in ends:
+            if 2 * w.inside <= accuracy:
+                w.value = low
+        ends = [(w, e) for w, e in ends if w.value is None]
+        counts = []
+        for w, (low, high) in ends:
+            c = x[w.column]
+            counts += [F.count(F.when(t, 1)) for t in (c < low, c == F.lit(low), (c > low) & (c < high), c == F.lit(high))]
+        counted = iter(_pass(df, counts) if counts else [])
+        for w, (low, high) in ends:
+            under, lows, between, highs = (int(next(counted)) for _ in range(4))
+            at = w.rank - under
+            if 0 <= at < lows:
+                w.value = low
+            elif 0 <= at - lows < between:
+                w.low, w.high, w.below, w.inside, w.margin = low, high, under + lows, between, 1
+            elif 0 <= at - lows - between < highs and low < high:
+                w.value = high
+            else:                                           # the sketch erred by more than it should
+                w.margin *= 4
+    out = []
+    for i, total in enumerate(n):
+        row: list[float | None] = []
+        for p in probs:
+            if not total:
+                row.append(None)
+                continue
+            pos = p * (total - 1)
+            a, b = windows[i, math.floor(pos)].value, windows[i, math.ceil(pos)].value
+            row.append(a if a == b else a + (pos - math.floor(pos)) * (b - a))
+        out.append(row)
+    return out
+
+
 def quantiles_long(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                    exact: bool = True, accuracy: int = 100_000, small_groups_first: bool = True,
                    max_groups: int = 10_000) -> DataFrame:

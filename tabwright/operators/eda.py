@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
-from .stats import as_double, column_stats, to_long
+from .stats import as_double, column_quantiles, column_stats
 from ..functions import cross
-from ..functions.quantiles import quantiles_long
 
 
 def numeric_summary(df: DataFrame, columns: list[str], decimals: int = 4) -> DataFrame:
@@ -40,8 +39,7 @@ def describe(df: DataFrame, column: str, exact: bool = True, decimals: int = 4)
     x = as_double(df, column)
     m = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                F.min(x).alias("min"), F.max(x).alias("max"))
-    q = quantiles_long(df.select(F.lit(column).alias("column_name"), x.alias("v")), ["column_name"], "v",
-                       [0.25, 0.5, 0.75], exact=exact)
+    q = column_quantiles(df, [column], [0.25, 0.5, 0.75], exact=exact)
     ql = q.select(F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), "value")
     ml = m.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value"))
                                       for s in ("count", "mean", "std", "min", "max")])).alias("e")).select("e.*")

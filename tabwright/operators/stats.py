@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import mode_long, quantiles_long
+from ..functions.quantiles import mode_long, quantiles_long, rank_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType, T.BooleanType)
@@ -105,8 +105,12 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], exac
     """(column_name, prob, value) for numeric columns (nulls ignored)."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, prob double, value double")
+    if exact:
+        got = rank_quantiles(df, [as_double(df, c) for c in columns], probs, accuracy)
+        rows = [(c, float(p), v) for c, row in zip(columns, got) for p, v in zip(probs, row) if v is not None]
+        return df.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")
     long = to_long(df.select(*[as_double(df, c).alias(c) for c in columns]), columns)
-    return quantiles_long(long, ["column_name"], "value", probs, exact=exact, accuracy=accuracy)
+    return quantiles_long(long, ["column_name"], "value", probs, exact=False, accuracy=accuracy)
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
