@@ -152,3 +152,22 @@ def test_place_by_brute_force():
 
 def test_sharding_an_empty_table(spark):
     assert sharding.assign(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [50_000, 7])
+def test_mixing_draws_equal_rows_one_by_one(spark, monkeypatch, crowd):
+    """Rows that repeat an id, or have none, are documents like others: targets are met."""
+    monkeypatch.setattr(mixing, "COPIES_PER_LOT", crowd)
+    ten = " ".join(["w"] * 10)
+    rows = [(7, ten, None, "a")] * 400 + [(i, ten + f" x{i}", None, "b") for i in range(300)] + [(None, ten + f" y{i % 200}", None, "c") for i in range(310)]
+    rows += [(9, ten + f" z{i}", None, "a") for i in range(50)]
+    got = mixing.mix(docs(spark, rows, extra=False)).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 11
+    whole = mixing.mix(docs(spark, rows, extra=False), rows=True).select("row.source", "taken", "target", "copies", "size").toPandas()
+    assert len(whole) == len(rows) and (whole.taken <= 2 * whole["size"]).all()
+    assert sorted(whole.groupby("source").taken.sum()) == sorted(got.groupby("source_size").taken.sum())
+    again = mixing.mix(docs(spark, rows, extra=False).repartition(5)).toPandas()
+    cols = ["doc_id", "size", "taken"]
+    assert got[cols].fillna(-1).sort_values(cols).values.tolist() == again[cols].fillna(-1).sort_values(cols).values.tolist()
