@@ -15,9 +15,10 @@ leaves a block pair is one row per linked class (its number of links, and the
 least class of its local component), never the pairs.
 
 Null, zero or non-finite vectors (also in one component) link with nothing;
-so do vectors of different lengths.  Null ids count as -1; vectors that share
-an id are one node, with the links of both.  Other columns, labels too, are not
-read.
+so do vectors of different lengths.  A node is a row: rows that share an id, or
+have none, stay apart.  Ids are returned as given; a component is named by its
+smallest id, null if none of its rows has one.  Other columns, labels too, are
+not read.
 """
 
 from __future__ import annotations
@@ -185,15 +186,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     prepare_workers(vectors.sparkSession)
     v = F.col(vec_col)
     finite = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    d = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("vec_id"), F.when(finite, F.transform(v, lambda c: F.when(c == 0, F.abs(c)).otherwise(c))).alias("v"))
+    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(finite, F.transform(v, lambda c: F.when(c == 0, F.abs(c)).otherwise(c))).alias("v"))
     d = d.withColumn("vkey", F.sha2(F.to_json("v").cast("binary"), 256))
-    grouped = d.where("v IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
-    classes = materialize(grouped, "lsh-classes")
+    # a class is a vector, known by its digest: rows that share an id, or have none, stay apart
+    grouped = d.where("v IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+    classes = materialize(grouped.withColumn("cls", F.xxhash64("vkey")), "lsh-classes")
     found = materialize(links(classes.select("cls", "m", "v"), classes.count(), cosine), "lsh-links", True)
     groups = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     weights = found.groupBy("cls").agg(F.sum("weight").alias("weight"))
-    per = materialize(classes.select("vkey", "cls", "m").join(weights, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-                      .select(F.col("vkey").alias("_vkey"), (F.coalesce("weight", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "lsh-per-class", True)
+    per = classes.select("vkey", "cls", "m", "rep").join(weights, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    per = materialize(per.withColumn("group", F.coalesce("component", "cls")), "lsh-per-class", True)
+    least = per.where("component IS NOT NULL").groupBy(F.col("group").alias("_group")).agg(F.min("rep").alias("least"))
+    per = per.join(least, F.col("group") == F.col("_group"), "left").select(
+        F.col("vkey").alias("_vkey"), (F.coalesce("weight", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     out = d.select("vec_id", "vkey").join(per, F.col("vkey") == F.col("_vkey"), "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("_vkey").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

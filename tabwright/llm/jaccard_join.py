@@ -26,8 +26,10 @@ Spark moves few large rows: workers ship postings packed by hash range, sets
 travel as binary.  Positions of lists, links and components stay distributed.
 
 Null text, or text without words, has an empty set (n_shingles 0) and is its
-own component; under five words the whole sequence is the one shingle.  Null
-ids count as -1.  Repeated rows are equal sets.  Other columns are not read.
+own component; under five words the whole sequence is the one shingle.  Rows
+are told apart by a digest of id and text: rows that repeat an id, or have none,
+are documents of their own.  Ids are returned as given; a component is named by
+its smallest id, null if none of its rows has one.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def _table(names: str, columns: list) -> pa.RecordBatch:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, sid, n of every document; kind 1: a chunk of a worker's counters."""
+    """kind 0: doc_id, key, sid, n of every document; kind 1: a chunk of a worker's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, dtype=np.uint16)
@@ -148,12 +150,12 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                 at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.uint32), return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 65535)
             k = len(texts)
-            yield _table("kind doc_id sid n chunk counts", [np.zeros(k, np.int32), b.column(0), np.array(sids, np.int64), np.array(sizes, np.int64), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())])
+            yield _table("kind doc_id key sid n chunk counts", [np.zeros(k, np.int32), b.column(0), b.column(2), np.array(sids, np.int64), np.array(sizes, np.int64), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())])
         if any_row:
             small, k = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1), CHUNKS
-            yield _table("kind doc_id sid n chunk counts", [np.ones(k, np.int32), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), np.arange(k, dtype=np.int32), pa.array([r.tobytes() for r in small], pa.binary())])
+            yield _table("kind doc_id key sid n chunk counts", [np.ones(k, np.int32), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), np.arange(k, dtype=np.int32), pa.array([r.tobytes() for r in small], pa.binary())])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, sid long, n long, chunk int, counts binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, sid long, n long, chunk int, counts binary")
 
 
 def rarity(scanned: DataFrame) -> np.ndarray:
@@ -417,26 +419,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id: a row per document."""
     spark = docs.sparkSession
     prepare_workers(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    own_id = F.col(id_col).cast("long")
+    d = docs.select(own_id.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(own_id, own_id.isNull(), F.col(text_col)).alias("key"))
     scanned = materialize(scan_sets(d), "jac-scan")
     own = scanned.where("kind = 0").select("doc_id", "sid", "n")
-    classes = materialize(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "jac-classes", True)
+    classes = materialize(scanned.where("kind = 0 AND n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n").alias("n")), "jac-classes", True)
     levels = spark.sparkContext.broadcast(rarity(scanned))
     part_bits = max(4, min(15, math.ceil(math.log2(max(1, classes.count() / DOCS_PER_PART)))))
     answered = materialize(answer_lists(postings(d, levels, part_bits)), "jac-lists")
     lists = answered.where("kind = 0").select("list", "sid", "n", "pos")
     first = answered.where("kind = 1").select(F.col("list").alias("a"), F.col("sid").alias("b")).distinct()
     # the sets that lists name, read again from their documents
-    named = materialize(lists.select("sid").distinct().join(classes, "sid").select("sid", F.col("rep").alias("_rep")), "jac-named", True)
+    named = materialize(lists.select("sid").distinct().join(classes, "sid").select("sid", F.col("key").alias("_key")), "jac-named", True)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
             sid = np.array([set_id(s) for s in sets], dtype=np.int64)
-            same = np.flatnonzero(sid == b.column(0).to_numpy())   # a repeated id may have other texts too
+            same = np.flatnonzero(sid == b.column(0).to_numpy())   # rows of one key may differ
             yield _table("sid hashes", [sid[same], pa.array([sets[i].tobytes() for i in same], pa.binary())])
 
-    texts = join_small(d, named, F.col("doc_id") == F.col("_rep")).select("sid", "text")
+    texts = join_small(d, named, F.col("key") == F.col("_key")).select("sid", "text")
     sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"]), "jac-sets")
     links = materialize(verify(first, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-first", True)
     tried, label, rows = first, *labelled(lists, links)

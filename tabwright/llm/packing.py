@@ -53,7 +53,8 @@ class Encoder:
     and the ids of runs are remembered.  New runs are encoded many at a time, in
     one string, and told apart by the byte lengths of their tokens.  This uses the
     same vocabulary's rank file, whose merge loop is faster; texts with white space
-    other than spaces and line feeds go to ``tokenizers`` whole.
+    other than spaces and line feeds, or with one of the vocabulary's added tokens
+    (such as its end mark, which is one id), go to ``tokenizers`` whole.
     """
 
     #: White space and controls other than space and line feed, each looked for by itself (faster than a pattern).
@@ -70,7 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -96,7 +97,7 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in self.odd) for t in texts]
+        odd = [any(c in t for c in self.odd) or any(c in t for c in self.added) for t in texts]
         split = [None if o or any(c in t for c in self.double) else t.split(" ") for t, o in zip(texts, odd)]
         # the first run has no space before it; a run that is empty or has white space inside is a word like any other
         known = self.runs.get

@@ -46,7 +46,7 @@ def shingles(text) -> frozenset:
 
 
 def components(ids, sets):
-    """Smallest id reachable by links of Jaccard 0.75 or more, by comparing all pairs."""
+    """Smallest id reachable by links of Jaccard 0.75 or more, by comparing all pairs; rows are nodes, a null id is the last."""
     root = list(range(len(ids)))
 
     def find(x):
@@ -60,5 +60,5 @@ def components(ids, sets):
                 root[find(i)] = find(j)
     least: dict = {}
     for i, x in enumerate(ids):
-        least[find(i)] = min(least.get(find(i), x), x)
+        least[find(i)] = min(least.get(find(i), x), x, key=lambda v: (v is None, v))
     return [least[find(i)] for i in range(len(ids))]

@@ -24,18 +24,29 @@ def test_components_of_paths_stars_and_rings(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def nulls_last(row):
+    return [(v is None, v or 0) for v in row]
+
+
 def check_join(spark, rows):
     got = jaccard_join.near_duplicates(docs(spark, rows)).collect()
-    ids = [-1 if r[0] is None else r[0] for r in rows]
+    ids = [r[0] for r in rows]
     sets = [shingles(r[1]) for r in rows]
-    want = sorted((i, len(s), c) for i, s, c in zip(ids, sets, brute_components(ids, sets)))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id if r.n_shingles else r.doc_id) for r in got) == [(i, n, c if n else i) for i, n, c in want]
+    want = [(i, len(s), c if s else i) for i, s, c in zip(ids, sets, brute_components(ids, sets))]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=nulls_last) == sorted(want, key=nulls_last)
 
 
 def test_jaccard_join_of_odd_rows(spark):
     check_join(spark, odd_rows(n=140))
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    """Groups that each hold a row without id, or one of the same id, are not one group."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    check_join(spark, [(5, text[0], None, None), (None, text[0], None, None), (6, text[1], None, None), (None, text[1], None, None),
+                       (7, text[2], None, None), (7, text[0], None, None), (None, text[3], None, None), (None, text[3] + " more", None, None), (None, "", None, None)])
+
+
 def test_jaccard_join_at_the_threshold(spark):
     """Copies with ever more changes: links just at, over and under 0.75, and chains of them."""
     rnd = random.Random(7)
@@ -88,11 +99,11 @@ def brute_vectors(rows):
               and x[i] @ x[j] / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])) >= 0.95] for i in range(n)]
     root = list(range(n))
     for _ in range(n):
-        new = [min([root[i], *(root[j] for j in links[i])], key=lambda r: ids[r]) for i in range(n)]
+        new = [min([root[i], *(root[j] for j in links[i])], key=lambda r: (ids[r] is None, ids[r] or 0, r)) for i in range(n)]
         if new == root:
             break
         root = new
-    return sorted((ids[i], len(links[i]), ids[root[i]]) for i in range(n))
+    return sorted(((ids[i], len(links[i]), ids[root[i]]) for i in range(n)), key=nulls_last)
 
 
 def test_vector_links_by_brute_force(spark, monkeypatch):
@@ -108,10 +119,18 @@ def test_vector_links_by_brute_force(spark, monkeypatch):
     rows += [(3000, None), (3001, [0.0] * 16), (3002, [1.0, None] + [0.0] * 14), (3003, [float("nan")] * 16), (3004, [float("inf")] * 16), (3005, []), (3006, hot.tolist()[:8]),
              (3007, [1e30] * 16), (3008, [1e-30] * 16), (3009, [-0.0] + [1.0] * 15), (3010, [0.0] + [1.0] * 15)]
     got = euclid_lsh.near_duplicates(vectors(spark, rows)).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows)
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=nulls_last) == brute_vectors(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    e = np.eye(8).tolist()
+    near = [x + 0.1 for x in e[2]]
+    rows = [(1, e[0]), (1, e[1]), (2, e[0]), (3, e[1]), (5, e[2]), (None, near), (6, e[3]), (None, e[3]), (None, e[4]), (None, e[4]), (9, e[5]), (9, e[5]), (None, None)]
+    got = euclid_lsh.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=nulls_last) == brute_vectors(rows)
+
+
 def test_collision_probability():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1, 32))
