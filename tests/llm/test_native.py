@@ -137,6 +137,25 @@ def test_sharding_balances_and_keeps_groups(spark):
     assert groups.drop(hot).max() == 1 and groups[hot] > 1        # only the group of a third of all rows is cut
 
 
+def test_sharding_keeps_a_group_that_fits(spark):
+    """A text that takes nearly half a shard stays in one; repeated ids and rows are rows like others."""
+    rows = [(i % 50, "the same words " * 3 if i % 20 == 0 else f"text {i} of its own kind", None, None) for i in range(4000)]
+    got = sharding.assign(docs(spark, rows, extra=False)).toPandas()
+    check_shards(rows, list(got.itertuples()))
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() <= 1.03 * size.min(), size.tolist()
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = odd_rows() + [(None, "x", None, None)] * 3 + [(4, "one two", "en", None)] * 2
+    df = docs(spark, rows).withColumnRenamed("shard", "other")
+    sharding.write_shards(df, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter((r.doc_id, r.text, r.source) for r in back.collect()) == Counter((i, t, s) for i, t, _, s in rows)
+    assert set(back.columns) == {*df.columns, "shard"}
+
+
 def test_place_by_brute_force():
     rng = np.random.default_rng(1)
     items = rng.integers(1, 100, (200, 3)).astype(float)
@@ -144,7 +163,8 @@ def test_place_by_brute_force():
     left, want = [[1.0] * 3 for _ in range(8)], {}
     for i in sorted(range(200), key=lambda i: (-v[i].max(), i)):
         score = [sum(a * b for a, b in zip(x, v[i])) for x in left]
-        s = max(range(8), key=lambda s: (round(score[s], 12), -s))
+        room = [s for s in range(8) if left[s][0] >= v[i][0]]
+        s = max(room, key=lambda s: (round(score[s], 12), -s)) if room else max(range(8), key=lambda s: (left[s][0], -s))
         want[i] = s
         left[s] = [a - b for a, b in zip(left[s], v[i])]
     assert sharding.place(items, 8) == [want[i] for i in range(200)]
