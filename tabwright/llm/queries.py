@@ -51,7 +51,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_arc_to_warc", warc.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("record_id")
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("record_id", "refers_to_record")
 
 
 @query("op3_euclid_lsh")

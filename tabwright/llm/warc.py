@@ -169,7 +169,7 @@ def _header(head: bytes, name: bytes) -> str | None:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, ip, date (ISO), mime, head, bytes, squeezed (the payload under zstd, as it travels
-    between tasks), payload_digest of all records under ``path``."""
+    between tasks), payload_digest and place (file and number) of all records under ``path``."""
     prepare_workers(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +177,18 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:5]), pa.array(cols[5], pa.binary()),
-                 pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.string())],
-                names=["page_id", "url", "ip", "date", "mime", "head", "bytes", "squeezed", "payload_digest"])
+                 pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.string()), pa.array(cols[9], pa.string())],
+                names=["page_id", "url", "ip", "date", "mime", "head", "bytes", "squeezed", "payload_digest", "place"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, size = [], 0
-                for rec in parse_arc(batch.column(0)[i].as_py()):
+                rows, size, name = [], 0, batch.column(1)[i].as_py()
+                for k, rec in enumerate(parse_arc(batch.column(0)[i].as_py())):
                     head, payload = _http(rec["body"])
                     page = _header(head, b"X-Page-Id")
                     d = rec["Archive-date"].ljust(14, "0")
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    rows.append((int(page) if page else None, rec["URL"], rec["IP-address"], date, rec["Content-type"], head, len(payload), squeeze(payload), hashlib.sha256(payload).hexdigest()))
+                    rows.append((int(page) if page else None, rec["URL"], rec["IP-address"], date, rec["Content-type"], head, len(payload), squeeze(payload), hashlib.sha256(payload).hexdigest(), f"{name} {k}"))
                     size += len(rows[-1][7]) + 500
                     if size > 4 << 20:
                         yield flush(rows)
@@ -196,8 +196,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield flush(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parse, "page_id long, url string, ip string, date string, mime string, head binary, bytes long, squeezed binary, payload_digest string")
+    files = spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.mapInArrow(parse, "page_id long, url string, ip string, date string, mime string, head binary, bytes long, squeezed binary, payload_digest string, place string")
 
 
 def squeeze(payload: bytes) -> bytes:
@@ -208,21 +208,21 @@ def expand(squeezed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(squeezed)
 
 
-def record_id(url: str, date: str, page_id) -> str:
-    """The same record always gets the same id."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {date} {url}')}>"
+def record_id(place: str, date: str, url: str) -> str:
+    """From where the record lies in its archive: equal records get ids of their own, the same one the same again."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{place} {date} {url}')}>"
 
 
 def convert(records: DataFrame, path: str) -> None:
     """Write records of ``read_arc`` as WARC 1.1 under ``path``."""
     digests = (records.where(F.col("bytes") >= MIN_REVISIT)
-               .groupBy("payload_digest").agg(F.min("page_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
-               .where("_n > 1 AND _least IS NOT NULL")
-               .select(F.col("payload_digest").alias("_digest"), "_least"))
+               .groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place", "date", "url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+               .where("_n > 1 AND _first IS NOT NULL")
+               .select(F.col("payload_digest").alias("_digest"), "_first", F.col("_first.page_id").alias("_least")))
     own = records.join(digests, F.col("payload_digest") == F.col("_digest"), "left")
     revisit = F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least"))
-    rows = own.select("page_id", "url", "ip", "date", "head", "bytes",
-                      F.when(~revisit, F.col("squeezed")).alias("squeezed"), "payload_digest", F.when(revisit, F.col("_least")).alias("refers_to"))
+    rows = own.select("page_id", "place", "url", "ip", "date", "head", "bytes",
+                      F.when(~revisit, F.col("squeezed")).alias("squeezed"), "payload_digest", F.when(revisit, F.col("_first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -236,14 +236,15 @@ def convert(records: DataFrame, path: str) -> None:
                 out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {batch.column('date')[0]}\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{path} {part}')}>\r\n"
                            f"Content-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info)
                 first = False
-            for page_id, url, ip, date, head, size, squeezed, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, place, url, ip, date, head, size, squeezed, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 kind = "response" if refers is None else "revisit"
                 block = head + (expand(squeezed) if squeezed else b"")
-                lines = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id(url, date, page_id)}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
+                lines = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id(place, date, url)}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
                          f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha256:{digest}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\n"]
                 if refers is not None:
                     lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
-                                 f"X-Refers-To-Page-Id: {refers}\r\nX-Payload-Length: {size}\r\n")
+                                 f"WARC-Refers-To: {record_id(refers['place'], refers['date'], refers['url'])}\r\nWARC-Refers-To-Target-URI: {refers['url']}\r\n"
+                                 f"WARC-Refers-To-Date: {refers['date']}\r\nX-Refers-To-Page-Id: {refers['page_id']}\r\nX-Payload-Length: {size}\r\n")
                 lines.append(f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n")
                 out.append("".join(lines).encode("utf-8", "surrogateescape") + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
@@ -264,12 +265,12 @@ def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id[, payload] of the
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_record[, payload] of the
     responses and revisits under ``path``.  Digests of responses are computed anew and must
     equal the declared ones."""
     prepare_workers(spark)
     types = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-             ("refers_to", pa.int64()), ("record_id", pa.string())] + ([("payload", pa.binary())] if payloads else [])
+             ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string())] + ([("payload", pa.binary())] if payloads else [])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
@@ -288,7 +289,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                     n = int(_header(head, b"X-Payload-Length") or 0) if kind == "revisit" else len(payload)
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {_header(head, b'WARC-Record-ID')} does not have its declared digest")
-                    rows.append((int(page) if page else None, n, digest, kind, int(refers) if refers else None, _header(head, b"WARC-Record-ID"), *([payload] if payloads else [])))
+                    rows.append((int(page) if page else None, n, digest, kind, int(refers) if refers else None, _header(head, b"WARC-Record-ID"), _header(head, b"WARC-Refers-To"), *([payload] if payloads else [])))
                     size += 200 + len(payload) * payloads
                     if size > 4 << 20:
                         yield flush(rows)
@@ -296,7 +297,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 if rows:
                     yield flush(rows)
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + (", payload binary" if payloads else "")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string" + (", payload binary" if payloads else "")
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
 
 

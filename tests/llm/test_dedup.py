@@ -151,7 +151,7 @@ def test_no_vectors(spark):
 
 def test_archives_round_trip_odd_pages(spark):
     big, nasty = "copy " * 40, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nhttp://a 0.0.0.0 20260101000000 text/html 5\n" * 3
-    rows = [(1, "http://a/b c\n", big), (2, None, big), (3, "http://é/", nasty), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (7, "u", big), (1, "u", big),
+    rows = [(8, "u", "s"), (8, "u", "s"), (20, "u", big), (20, "u", big), (1, "http://a/b c\n", big), (2, None, big), (3, "http://é/", nasty), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (7, "u", big), (1, "u", big),
             (9, "u", nasty), (None, "u", "null id " * 20), (None, "v", big), (12, "u", "z" * 300000), (13, "u", "\n\n \n"), (14, "", "é" * 60)]
     df = spark.createDataFrame([(*r, "x", 3) for r in rows], "page_id long, url string, html string, payload string, refers_to long")
     got = warc.round_trip(df).collect()
@@ -165,6 +165,14 @@ def test_archives_round_trip_odd_pages(spark):
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), *kind))
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
+    by_id = {r.record_id: r for r in got}
+    assert len(by_id) == len(got)                         # repeated rows too
+    for r in got:
+        if r.record_type == "revisit":
+            first = by_id[r.refers_to_record]
+            assert (first.record_type, first.page_id, first.payload_digest) == ("response", r.refers_to, r.payload_digest)
+        else:
+            assert r.refers_to_record is None
 
 
 def test_arc_versions_and_payloads(spark):
