@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.dictionary import encode, level_dictionary
 from ..operators import features as FE
 from ..operators.clean import clean, drop_duplicates, drop_null_target, replace_inf
 from ..options import DEFAULT
@@ -149,3 +150,15 @@ def q_feat_assemble(spark, sf_dir):
     t = pre.transform(p)
     return t.select("p_partkey", F.size(vector_to_array("features")).alias("n_features"),
                     vector_to_array("features").alias("features"))
+
+
+@query("feat_dictionary", sql="""WITH l AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS idx FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS level
+  FROM orders WHERE o_orderkey % 4 <> 0))
+SELECT o_orderkey, idx, (SELECT count(*) FROM l) AS n_levels FROM orders LEFT JOIN l ON CAST(o_custkey AS VARCHAR) = level""")
+def q_feat_dictionary(spark, sf_dir):
+    """customers as levels, numbered on three quarters of the orders and looked up on all;
+    those only in the last quarter are unseen (no number, a vector of zeros)."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    levels = level_dictionary(orders.where("o_orderkey % 4 <> 0"), "o_custkey")
+    out = encode(orders, "o_custkey", levels, "idx", "hot")
+    return out.select("o_orderkey", "idx", F.lit(levels.size).cast("long").alias("n_levels"))
