@@ -58,6 +58,7 @@ REACH = 0.17           # a leader is this near at most; other sets are their own
 STAR_WORTH = 20        # a round is worth another if one in so many of its pairs links
 FLUSH = 1_000_000      # postings a worker holds before it ships them
 REMEMBERED = 200_000
+SIGNATURE = 7          # log2 of the counters of a set's signature
 _B = 0x9E3779B97F4A7C15
 
 
@@ -115,6 +116,17 @@ def set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2^SIGNATURE ranges of the hash (255: that many or more)."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, nx, ny) -> np.ndarray:
+    """No two sets of these signatures and sizes share more: range by range, the lesser count."""
+    both = np.minimum(x, y).astype(np.int64)
+    return np.minimum(np.where((both == 255).any(axis=-1), np.int64(1) << 40, both.sum(axis=-1)), np.minimum(nx, ny))
+
+
 def needed(a, b, percent: int = PERCENT):
     """Least overlap of linked sets of sizes a and b: 100 o >= percent (a + b - o)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -288,8 +300,30 @@ def answer_lists(packed: DataFrame) -> DataFrame:
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "kind int, list long, sid long, n long, pos long")
 
 
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of set ids whose signatures leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
+                na, nb = b.column(4).to_numpy(), b.column(5).to_numpy()
+                shared = most_shared(x, y, na, nb)
+                yield b.select([0, 1]).filter(pa.array(100 * shared >= PERCENT * (na + nb - shared)))
+
+    sig = sets.select("sid", "sig", "n")
+    both = pairs.select("a", "b").join(sig.select(F.col("sid").alias("_a"), F.col("sig").alias("x"), F.col("n").alias("na")), F.col("a") == F.col("_a"))
+    both = both.join(sig.select(F.col("sid").alias("_b"), F.col("sig").alias("y"), F.col("n").alias("nb")), F.col("b") == F.col("_b"))
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, d) of the linked ones among ``pairs``: only those that signatures leave open meet their sets."""
+    return verify(materialize(likely(pairs, sets), "jac-likely", True), sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, na, nb): exact overlap of pairs of set ids."""
+    """(a, b, shared, na, nb): exact overlap of pairs of set ids (a written table); sets that no pair names stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, x = None, None
@@ -305,6 +339,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 na.append(len(x)), nb.append(len(y))
             yield _table("a b shared na nb", [a, b, pa.array(shared, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())])
 
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_sid")).distinct(), "jac-asked", True)
+    sets = join_small(sets.select("sid", "hashes"), named, F.col("sid") == F.col("_sid")).select("sid", "hashes")
     right = pairs.join(sets.select(F.col("sid").alias("_b"), F.col("hashes").alias("right")), F.col("b") == F.col("_b")).drop("_b")
     both = right.join(sets.select(F.col("sid").alias("_a"), F.col("hashes").alias("left")), F.col("a") == F.col("_a"))
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, shared long, na long, nb long")
@@ -314,12 +350,15 @@ LINKED = f"100 * shared >= {PERCENT} * (na + nb - shared)"
 DISTANCE = "1 - shared / (na + nb - shared)"
 
 
-def leader_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): leaders of different components that meet in a list, if their members' sizes and positions may fit."""
+def leader_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): leaders of different components that meet in a list, if their members' sizes and positions may
+    fit and the leaders' signatures leave them near enough for a link between members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held):
-            label, leader, low, high, pos = (np.array(c, dtype=np.int64) for c in zip(*held))
+            label, leader, low, high, pos, size = (np.array(c, dtype=np.int64) for c in list(zip(*held))[:6])
+            reach = np.array([r[6] for r in held])
+            sig = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), -1)
             out_a, out_b = [], []
             for i in range(len(label) - 1):
                 j = slice(i + 1, None)
@@ -327,7 +366,10 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
                 fit &= 1 + np.minimum(high[i] - pos[i] - 1, high[j] - pos[j] - 1) >= needed(low[i], low[j])
                 own, other = pos[i] < index_length(high[i]), pos[j] < index_length(high[j])
                 fit &= np.where(high[i] < low[j], own, np.where(high[j] < low[i], other, own | other))
-                to = leader[j][fit]
+                k = i + 1 + np.flatnonzero(fit)
+                shared = most_shared(sig[i], sig[k], size[i], size[k])
+                k = k[1 - shared / (size[i] + size[k] - shared) - reach[i] - reach[k] <= 1 - PERCENT / 100 + 1e-9]
+                to = leader[k]
                 out_a.append(np.minimum(to, leader[i])), out_b.append(np.maximum(to, leader[i]))
             return np.concatenate(out_a), np.concatenate(out_b)
 
@@ -351,7 +393,10 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
             yield _table("a b", [pair[:, 0], pair[:, 1]])
 
     per = rows.groupBy("list", "label", "leader").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    return (per.repartition("list").sortWithinPartitions("list", "leader").mapInArrow(run, "a long, b long").distinct())
+    own = rows.groupBy(F.col("leader").alias("_leader")).agg(F.max("d").alias("reach"))
+    own = own.join(sets.select("sid", F.col("n").alias("size"), "sig"), F.col("_leader") == F.col("sid")).drop("sid")
+    per = per.join(own, F.col("leader") == F.col("_leader")).select("list", "label", "leader", "low", "high", "pos", "size", "reach", "sig")
+    return per.repartition("list").sortWithinPartitions("list", "leader").mapInArrow(run, "a long, b long").distinct()
 
 
 def open_pairs(rows: DataFrame, undecided: DataFrame) -> DataFrame:
@@ -437,11 +482,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = shingle_sets(b.column(1).to_pylist())
             sid = np.array([set_id(s) for s in sets], dtype=np.int64)
             same = np.flatnonzero(sid == b.column(0).to_numpy())   # rows of one key may differ
-            yield _table("sid hashes", [sid[same], pa.array([sets[i].tobytes() for i in same], pa.binary())])
+            yield _table("sid hashes sig n", [sid[same], pa.array([sets[i].tobytes() for i in same], pa.binary()),
+                                              pa.array([signature(sets[i]) for i in same], pa.binary()), np.array([len(sets[i]) for i in same], np.int64)])
 
     texts = join_small(d, named, F.col("key") == F.col("_key")).select("sid", "text")
-    sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"]), "jac-sets")
-    links = materialize(verify(first, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-first", True)
+    sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary, sig binary, n long").dropDuplicates(["sid"]), "jac-sets")
+    links = materialize(linked(first, sets), "jac-first", True)
     tried, label, rows = first, *labelled(lists, links)
     for r in range(STAR_ROUNDS):
         pairs = star_pairs(rows, r).join(tried, ["a", "b"], "left_anti")
@@ -449,7 +495,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_pairs = pairs.count()
         if not n_pairs:
             break
-        more = materialize(verify(pairs, sets).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("d")), "jac-star-links", True)
+        more = materialize(linked(pairs, sets), "jac-star-links", True)
         if STAR_WORTH * more.count() < n_pairs:      # crowded by sets that are not alike: compare leaders instead
             links = links.union(more)
             label, rows = labelled(lists, links)
@@ -457,21 +503,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links, tried = links.union(more), tried.union(pairs)
         discard(rows)
         label, rows = labelled(lists, links)
+    discard(answered)
     mixed_lists = materialize(rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("list").alias("_list")), "jac-mixed", True)
     rows = materialize(rows.join(mixed_lists, F.col("list") == F.col("_list")).drop("_list"), "jac-open-rows", True)
-    between = materialize(verify(leader_pairs(rows), sets).withColumn("distance", F.expr(DISTANCE)), "jac-leaders", True)
+    between = materialize(verify(materialize(leader_pairs(rows, sets), "jac-leader-pairs", True), sets).withColumn("distance", F.expr(DISTANCE)), "jac-leaders", True)
     reach = materialize(rows.groupBy("leader").agg(F.max("d").alias("reach")).where("reach > 0"), "jac-reach", True)
     ra, rb = (reach.select(F.col("leader").alias(f"_{c}"), F.col("reach").alias(f"r{c}")) for c in "ab")
     undecided = materialize(between.where(f"NOT ({LINKED})").join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
                             .where(f"distance - coalesce(ra, 0) - coalesce(rb, 0) <= {1 - PERCENT / 100} + 1e-9").select("a", "b", "distance"), "jac-undecided", True)
     more = between.where(LINKED).select("a", "b")
     if undecided.limit(1).count():
-        more = more.union(verify(materialize(open_pairs(rows, undecided), "jac-open", True), sets).where(LINKED).select("a", "b"))
+        more = more.union(linked(open_pairs(rows, undecided), sets).select("a", "b"))
     # links between components join their labels
     la, lb = (label.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"l{c}")) for c in "ab")
     joined = (more.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
               .select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")))
     merged = materialize(components(joined).withColumnRenamed("node", "_label").withColumnRenamed("component", "_to"), "jac-merged", True)
+    discard(sets)
     final = classes.join(label.withColumnRenamed("node", "_node"), F.col("sid") == F.col("_node"), "left").select(
         "sid", "rep", F.coalesce("component", "sid").alias("label"))
     final = final.join(merged, F.col("label") == F.col("_label"), "left").select("sid", "rep", F.coalesce("_to", "label").alias("label"))

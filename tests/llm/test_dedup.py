@@ -75,6 +75,17 @@ def test_jaccard_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_signatures_never_hide_a_shared_shingle():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 80, 3000, 60000):
+        a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        for share in (0.0, 0.3, 0.8, 1.0):
+            b = np.unique(np.concatenate([a[:int(share * len(a))], rng.integers(0, 2 ** 64, n // 2, dtype=np.uint64)]))
+            x, y = (np.frombuffer(jaccard_join.signature(s), np.uint8)[None] for s in (a, b))
+            most = jaccard_join.most_shared(x, y, len(a), len(b))[0]
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+
+
 def test_overlap_bounds():
     for a in range(1, 60):
         for b in range(a, 60):
