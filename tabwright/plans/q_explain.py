@@ -101,6 +101,7 @@ def q_shap_rule_tree(spark, sf_dir):
 def q_native_importance(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
     pre, model = SEL.fit_final(ts, "Random Forest", None)
+    ts.release()
     return spark.createDataFrame(X.native_importance(model, pre.feature_names), "feature string, importance double")
 
 
@@ -171,6 +172,7 @@ def q_surrogate_ridge(spark, sf_dir):
     """Ridge surrogate of the logistic model's predicted class on the hold-out rows."""
     s, ts = doc_trainset(spark, sf_dir)
     pre, model = SEL.fit_final(ts, "Logistic Regression", None)
+    ts.release()
     test = s.where(F.col("split") == "test")
     pred = model.transform(pre.transform(test)).select("features", F.col("prediction").alias("_p"))
     sur = X.surrogate_ridge(pred, "features", "_p")

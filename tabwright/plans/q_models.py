@@ -59,6 +59,7 @@ def part_trainset(spark, sf_dir, options=DEFAULT):
 def _train_predict(spark, sf_dir, name, task):
     s, ts = doc_trainset(spark, sf_dir) if task == "classification" else part_trainset(spark, sf_dir)
     pre, model = SEL.fit_final(ts, name, None)
+    ts.release()
     return SEL.predict(pre, model, s.where(F.col("split") == "test"), ts).withColumn("model", F.lit(name))
 
 
@@ -114,13 +115,16 @@ def q_model_compare(spark, sf_dir):
     """The four candidates of the reference's published runs, at full size.  The three
     boosters (``include_boosters``, on by default) add 15 fits of 250 rounds: see README."""
     s, ts = doc_trainset(spark, sf_dir)
-    return SEL.compare_models(ts, "f1_weighted", include_boosters=False)
+    board = SEL.compare_models(ts, "f1_weighted", include_boosters=False)
+    ts.release()
+    return board
 
 
 @query("tune_grid")
 def q_tune_grid(spark, sf_dir):
     s, ts = doc_trainset(spark, sf_dir)
     r = SEL.tune(ts, "Logistic Regression", "f1_weighted")
+    ts.release()
     rows = [(r.strategy, json.dumps(m, sort_keys=True), sc, m == r.best_params) for m, sc, _ in r.trials]
     return spark.createDataFrame(rows, "strategy string, params string, mean_score double, best boolean")
 
@@ -151,6 +155,7 @@ def q_predict_batch(spark, sf_dir):
     """H1: tuned champion -> (key, actual, prediction, score) on the hold-out rows."""
     s, ts = doc_trainset(spark, sf_dir)
     r = SEL.tune(ts, "Logistic Regression", "f1_weighted")
+    ts.release()
     return SEL.predict(r.preprocessor, r.model, s.where(F.col("split") == "test"), ts)
 
 
