@@ -12,6 +12,11 @@ language, summed by Spark over all workers.  The model is vocabulary x
 languages numbers, whatever the corpus; its size is checked before it is
 broadcast.
 
+Every piece of the vocabulary takes part, and no word is cut: runs of over
+``BATCHED`` characters (some scripts have no white space) are walked in parts
+of ``PART`` characters, the last forward sums carried from part to part, so
+that all their segmentations are summed in bounded memory.
+
 Prediction reads whole texts.  Word scores are remembered in each worker (at
 most ``REMEMBERED`` words), so a text costs a lookup per word.
 
@@ -22,6 +27,7 @@ point.  Repeated rows and extra columns are of no consequence.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -36,16 +42,17 @@ from .common import GAP, prepare_workers
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 200      # labelled documents per language, at most about this many
 ROUNDS = 3             # of expectation maximisation
-LONGEST_PIECE = 12     # characters
-LONGEST_WORD = 48      # characters; longer runs are cut
+BATCHED = 48           # characters; words up to this long are summed side by side, longer ones one by one
+PART = 4096            # characters of a long word held at a time
 SMOOTH = 0.1           # added to each expected count
 REMEMBERED = 150_000
 MODEL_BYTES = 256 << 20
 SPACE = "▁"       # word start mark of the vocabulary
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")     # what training splits at GAP
 
 
-def vocabulary(path: str | None = None, longest: int = LONGEST_PIECE) -> list[str]:
+def vocabulary(path: str | None = None) -> list[str]:
     """Pieces in lower case, without control and byte pieces."""
     import public_tokenizers
     import sentencepiece
@@ -53,7 +60,7 @@ def vocabulary(path: str | None = None, longest: int = LONGEST_PIECE) -> list[st
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     found = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())
              if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in found if 0 < len(p) <= longest})
+    return sorted({p for p in found if p})
 
 
 class Lattice:
@@ -102,15 +109,11 @@ class Lattice:
         return out
 
 
-def cut(words: list[str], most: int = LONGEST_WORD) -> tuple[list[str], np.ndarray]:
-    """Marked parts of at most ``most`` characters, and the word each belongs to.  Runs
-    without white space (some scripts have none) are cut, so a word's cost is bounded."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, len(w), most):
-            parts.append(SPACE + w[at:at + most] if not at else w[at:at + most])
-            owner.append(i)
-    return parts, np.array(owner, dtype=np.int64)
+def by_length(words: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+    """Marked words, the indices of those of at most ``BATCHED`` characters, and of the longer ones."""
+    marked = [SPACE + w for w in words]
+    size = np.array([len(w) for w in marked], dtype=np.int64)
+    return marked, np.flatnonzero(size <= BATCHED), np.flatnonzero(size > BATCHED).tolist()
 
 
 def lots(size: np.ndarray, cells: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -125,17 +128,67 @@ def lots(size: np.ndarray, cells: int = 1 << 16) -> Iterator[np.ndarray]:
 
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """(word, language): log of the sum over all segmentations."""
-    parts, owner = cut(words)
-    size = np.array([len(p) for p in parts], dtype=np.int64)
-    logs = np.zeros((len(parts), prob.shape[1]))
-    for at in lots(size):
-        ids = lattice.ids([parts[i] for i in at], int(size[at[0]]))
-        logs[at] = forward(ids, prob)[:, -1]
+    marked, short, long = by_length(words)
     out = np.zeros((len(words), prob.shape[1]))
-    np.add.at(out, owner, logs)
+    for lot in lots(np.array([len(marked[i]) for i in short], dtype=np.int64)):
+        at = short[lot]
+        ids = lattice.ids([marked[i] for i in at], len(marked[at[0]]))
+        out[at] = forward(ids, prob)[:, -1]
+    for i in long:
+        before = np.zeros((1, prob.shape[1]))
+        for a in range(0, len(marked[i]), PART):
+            before = part_forward(marked[i], a, before, lattice, prob)[2][-lattice.longest:]
+        out[i] = before[-1]
     return out
 
 
+def part_forward(word: str, a: int, before: np.ndarray, lattice: Lattice, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``PART`` characters of a long word from ``a`` on.  ``before`` holds log P up to ``a`` and the
+    positions before it that a piece reaches.  -> pieces (start, length - 1), probabilities of the
+    pieces by their end (end, length - 1, language), log P (position, language); positions count from the first in ``before``."""
+    over = len(before) - 1
+    text = word[a - over:a + PART]
+    n, longest, g = len(text), lattice.longest, prob.shape[1]
+    ids = lattice.ids([text], n)[0]
+    p = np.zeros((n + 1, longest, g))
+    for k in range(1, min(longest, n) + 1):
+        p[k:, k - 1] = prob[ids[:n + 1 - k, k - 1]]
+    logs = np.zeros((n + 1, g))
+    logs[:over + 1] = before
+    offset, last = before[over], np.zeros((longest, g))     # last[k - 1]: the sum at j - k
+    last[:over + 1] = np.exp(before[::-1] - offset)
+    for j in range(over + 1, n + 1):
+        total = (last * p[j]).sum(axis=0)
+        logs[j] = offset + np.log(total)
+        if j % 8 == 0:
+            last, offset, total = last / total, logs[j], np.ones(g)
+        last[1:] = last[:-1].copy()
+        last[0] = total
+    return ids, p, logs
+
+
+def long_expected(word: str, count: np.ndarray, lattice: Lattice, prob: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected uses of a long word.  Forward once, keeping what each part starts from; then backward part by part."""
+    longest, starts = lattice.longest, [np.zeros((1, prob.shape[1]))]
+    for a in range(0, len(word), PART):
+        starts.append(part_forward(word, a, starts[-1], lattice, prob)[2][-longest:])
+    later = count[None, :]      # probability of a boundary, times the count, at the positions that end a part
+    for q in range(len(starts) - 2, -1, -1):
+        ids, p, logs = part_forward(word, q * PART, starts[q], lattice, prob)
+        over, n = len(starts[q]) - 1, len(logs) - 1
+        share = np.zeros_like(logs)
+        share[-len(later):] += later
+        uses = np.zeros_like(p)
+        for j in range(n, over, -1):
+            k = min(longest, j)
+            uses[j, :k] = share[j] * np.exp(logs[j - k:j][::-1] - logs[j]) * p[j, :k]
+            share[j - k:j] += uses[j, :k][::-1]
+        for k in range(1, min(longest, n) + 1):
+            for lang in range(out.shape[1]):
+                out[:, lang] += np.bincount(ids[:n + 1 - k, k - 1], weights=uses[k:, k - 1, lang], minlength=len(out))
+        later = share[:over + 1]
+
+
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """log P of the first j characters, (word, j, language).  Sums are rescaled every
     few positions, so that long words do not underflow."""
@@ -161,16 +214,18 @@ def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
 def expected(words: list[str], counts: np.ndarray, lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece per language, for words seen ``counts`` (word, language) times."""
     out = np.zeros_like(prob)
-    parts, owner = cut(words)
-    size = np.array([len(p) for p in parts], dtype=np.int64)
-    for at in lots(size):
-        width = int(size[at[0]])
-        ids = lattice.ids([parts[i] for i in at], width)
+    marked, short, long = by_length(words)
+    for i in long:
+        long_expected(marked[i], counts[i], lattice, prob, out)
+    for lot in lots(np.array([len(marked[i]) for i in short], dtype=np.int64)):
+        at = short[lot]
+        width = len(marked[at[0]])
+        ids = lattice.ids([marked[i] for i in at], width)
         n, longest, g = len(at), lattice.longest, prob.shape[1]
         logs = forward(ids, prob)
         # backward, relative to the forward logs: beta[j] * exp(logs[j]) / Z
         share = np.zeros((n, width + 1, g))  # probability that a segmentation has a boundary at j
-        share[:, width] = counts[owner[at]]
+        share[:, width] = counts[at]
         pieces, uses = [], []
         for j in range(width, 0, -1):
             for k in range(1, min(j, longest) + 1):
@@ -256,7 +311,7 @@ class Scorer:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         for lo in range(0, len(texts), 256):
-            part = [None if t is None or not any(map(str.isalpha, t)) else t.lower().split() for t in texts[lo:lo + 256]]
+            part = [None if t is None or not any(map(str.isalpha, t)) else _WORD.findall(t.lower()) for t in texts[lo:lo + 256]]
             if len(self.index) > REMEMBERED:
                 self.clear()
             index = self.index

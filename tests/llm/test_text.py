@@ -16,7 +16,7 @@ from tests.llm.data import LOWER, WORD, docs, odd_rows
 
 # language ID
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = ["a", "b", "ab", "ba", "abc", langid.SPACE, langid.SPACE + "a", "c"]
     lat, rng = langid.Lattice(pieces), np.random.default_rng(0)
     prob = rng.random((len(pieces) + 2, 2))
@@ -32,9 +32,32 @@ def test_forward_sums_all_segmentations():
     rnd = random.Random(1)
     words = ["".join(rnd.choice("abcxé") for _ in range(rnd.randint(1, 14))) for _ in range(200)] + ["abcx" * 11]
     assert np.allclose(langid.word_scores(words, lat, prob), [brute(langid.SPACE + w) for w in words])
-    long = "ab" * 100                                     # cut into parts of LONGEST_WORD characters
-    assert np.allclose(langid.word_scores([long], lat, prob)[0],
-                       sum(brute((langid.SPACE if not i else "") + long[i:i + 48]) for i in range(0, 200, 48)))
+    for part in (7, 50, 4096):                            # long runs are walked in parts, segmentations over an edge summed too
+        monkeypatch.setattr(langid, "PART", part)
+        long = ["".join(rnd.choice("abcxé") for _ in range(k)) for k in (48, 49, 100, 151, 300)]
+        assert np.allclose(langid.word_scores(long, lat, prob), [brute(langid.SPACE + w) for w in long])
+
+
+def test_expected_counts_of_long_runs(monkeypatch):
+    """Walked part by part as summed side by side."""
+    pieces = ["a", "b", "ab", "ba", "abc", langid.SPACE, langid.SPACE + "a", "c"]
+    lat, rnd = langid.Lattice(pieces), random.Random(3)
+    prob = np.random.default_rng(1).random((len(pieces) + 2, 2))
+    prob[-1] = 0
+    words = ["".join(rnd.choice("abcx") for _ in range(k)) for k in (60, 99, 200, 5)]
+    counts = np.array([[1., 2.], [3., 0.], [1., 1.], [0., 2.]])
+    monkeypatch.setattr(langid, "BATCHED", 1000)
+    want = langid.expected(words, counts, lat, prob)
+    monkeypatch.setattr(langid, "BATCHED", 48)
+    for part in (5, 33, 4096):
+        monkeypatch.setattr(langid, "PART", part)
+        assert np.allclose(langid.expected(words, counts, lat, prob), want)
+
+
+def test_all_pieces_take_part_and_words_split_alike():
+    found = langid.vocabulary()
+    assert max(map(len, found)) > 12 and langid.SPACE + "international" in found
+    assert langid._WORD.findall("a\u00a0b c\x1cd\n") == ["a\u00a0b", "c\x1cd"]
 
 
 def test_expected_counts_by_enumeration():
