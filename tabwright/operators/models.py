@@ -2,9 +2,10 @@
 
 Every learner has the reference's size (trees, rounds, iterations).  Mapping:
 logistic regression with L2 ``C`` -> ``regParam = 1 / (C * n)``; unbounded
-depth -> Spark's maximum 30; support-vector classifier -> linear margin
-``LinearSVC`` (``OneVsRest`` for more than two classes); support-vector
-regressor -> Huber linear fit; the three boosters -> ``GBTClassifier`` /
+depth -> Spark's maximum 30; support-vector classifier -> random kernel map
+(``kernels``, radial unless told otherwise) before a linear margin ``LinearSVC``
+(``OneVsRest`` for more than two classes); support-vector regressor -> the same
+map before a Huber linear fit; the three boosters -> ``GBTClassifier`` /
 ``GBTRegressor`` (binary only, so ``OneVsRest`` for multiclass), one grown by
 levels, one by leaves (31 leaves -> depth 5) and one of symmetric trees.
 """
@@ -15,11 +16,13 @@ import math
 import random
 from itertools import product
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 
 from ..options import DEFAULT, Options
+from .kernels import KernelMap
 
 MAX_DEPTH = 30  # Spark's limit; stands for "unbounded" (None)
 
@@ -78,13 +81,15 @@ def make_estimator(name: str, n_train: int, n_classes: int = 2, options: Options
         return (RandomForestRegressor if regressor else RandomForestClassifier)(**cols, **kw)
     if kind == "Decision Tree":
         return (DecisionTreeRegressor if regressor else DecisionTreeClassifier)(**cols, **(dict(maxDepth=MAX_DEPTH, seed=seed) | p))
-    if name == "SVM":
-        c = p.pop("C", 1.0)
-        svc = LinearSVC(**cols, regParam=1.0 / (c * n), maxIter=SVM_ITERATIONS, tol=1e-4, standardization=False, **p)
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc, **cols)
-    if name == "SVR":
-        c = p.pop("C", 1.0)
-        return LinearRegression(**cols, loss="huber", regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=SVM_ITERATIONS, tol=1e-4, **p)
+    if kind == "SVM":
+        c, mapped = p.pop("C", 1.0), "kernel_features"
+        to_kernel = KernelMap(inputCol=features, outputCol=mapped, kernel=p.pop("kernel", "rbf"), gamma=p.pop("gamma", "scale"), seed=seed)
+        cols = dict(featuresCol=mapped, labelCol=label)
+        fit = dict(regParam=1.0 / (c * n), maxIter=SVM_ITERATIONS, tol=1e-4) | p
+        if name == "SVR":
+            return Pipeline(stages=[to_kernel, LinearRegression(**cols, loss="huber", elasticNetParam=0.0, **fit)])
+        svc = LinearSVC(**cols, standardization=False, **fit)
+        return Pipeline(stages=[to_kernel, svc if n_classes <= 2 else OneVsRest(classifier=svc, **cols)])
     if kind in BOOSTERS:
         kw = dict(maxIter=BOOSTER_ROUNDS, stepSize=BOOSTER_STEP, maxDepth=BOOSTER_DEPTH, seed=seed, cacheNodeIds=True)
         if kind == "Level-wise Boosting":
@@ -122,10 +127,11 @@ def combinations(name: str) -> list[dict]:
 
 
 def to_spark(name: str, point: dict) -> dict:
-    """A point in Spark's terms.  ``solver``, ``gamma`` and ``kernel`` have no counterpart;
-    a minimum of s rows to split a node becomes ceil(s / 2) rows a child."""
+    """A point in Spark's terms.  ``solver`` has no counterpart; a minimum of s rows to split a node becomes ceil(s / 2) rows a child."""
     kind = family(name)
-    if kind in ("Logistic Regression", "SVM"):
+    if kind == "SVM":
+        return dict(point)
+    if kind == "Logistic Regression":
         return {"C": point["C"]}
     if kind in ("Random Forest", "Decision Tree"):
         out = {"maxDepth": point["max_depth"] or MAX_DEPTH,

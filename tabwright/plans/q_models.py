@@ -56,17 +56,17 @@ def part_trainset(spark, sf_dir, options=DEFAULT):
     return s, ts
 
 
-def _train_predict(spark, sf_dir, name, task):
+def _train_predict(spark, sf_dir, name, task, params=None):
     s, ts = doc_trainset(spark, sf_dir) if task == "classification" else part_trainset(spark, sf_dir)
-    pre, model = SEL.fit_final(ts, name, None)
+    pre, model = SEL.fit_final(ts, name, params)
     ts.release()
     return SEL.predict(pre, model, s.where(F.col("split") == "test"), ts).withColumn("model", F.lit(name))
 
 
-def _register_train(qname, name, task):
+def _register_train(qname, name, task, params=None):
     @query(qname)
     def q(spark, sf_dir):
-        return _train_predict(spark, sf_dir, name, task)
+        return _train_predict(spark, sf_dir, name, task, params)
     q.__name__ = f"q_{qname}"
     return q
 
@@ -77,6 +77,7 @@ _register_train("train_rf_reg", "Random Forest Regressor", "regression")
 _register_train("train_dt_cls", "Decision Tree", "classification")
 _register_train("train_dt_reg", "Decision Tree Regressor", "regression")
 _register_train("train_svc", "SVM", "classification")
+_register_train("train_svc_poly", "SVM", "classification", {"C": 1.0, "kernel": "poly", "gamma": "scale"})
 _register_train("train_huber", "SVR", "regression")
 _register_train("train_gbt_cls", "Level-wise Boosting", "classification")
 _register_train("train_gbt_reg", "Level-wise Boosting Regressor", "regression")
@@ -150,6 +151,16 @@ def q_tune_tree(spark, sf_dir):
     return spark.createDataFrame(rows, "strategy string, params string, mean_score double, best boolean")
 
 
+@query("tune_svc")
+def q_tune_svc(spark, sf_dir):
+    """The support-vector space on document quality: penalties, kernels and widths, 12 points."""
+    s, ts = doc_trainset(spark, sf_dir)
+    r = SEL.tune(ts, "SVM", "f1_weighted")
+    ts.release()
+    rows = [(r.strategy, json.dumps(m, sort_keys=True), sc, m == r.best_params) for m, sc, _ in r.trials]
+    return spark.createDataFrame(rows, "strategy string, params string, mean_score double, best boolean")
+
+
 @query("predict_batch")
 def q_predict_batch(spark, sf_dir):
     """H1: tuned champion -> (key, actual, prediction, score) on the hold-out rows."""

@@ -114,7 +114,7 @@ def test_a_failed_fallback_is_reported(trainset, monkeypatch):
 
 
 def test_search_strategy_follows_the_reference_count():
-    want = {"Logistic Regression": ("grid_search", 3), "SVM": ("grid_search", 3), "Decision Tree": ("grid_search", 12), "SVR": ("grid_search", 3),
+    want = {"Logistic Regression": ("grid_search", 3), "SVM": ("grid_search", 12), "Decision Tree": ("grid_search", 12), "SVR": ("grid_search", 12),
             "Linear Regression": ("none", 0)}
     for name, (strategy, n) in want.items():
         got = MO.search_space(name)
