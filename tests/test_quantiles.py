@@ -58,3 +58,14 @@ def test_few_rows(spark):
     assert Q.rank_quantiles(d, [F.col("a"), F.col("b")], [0.25, 0.5]) == [[1.25, 1.5], [5.0, 5.0]]
     assert Q.rank_quantiles(d.where("false"), [F.col("a")], [0.5]) == [[None]]
     assert Q.rank_quantiles(d, [], [0.5]) == []
+
+
+def test_sketches_sent_to_the_last_task_stay_small(spark, monkeypatch):
+    """Ranks with one window share a sketch, and no sketch is as fine as the accuracy asked for."""
+    asked, real = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: asked.append(a) or real(c, p, a))
+    v = np.random.default_rng(3).normal(size=30_000)
+    d = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(5).cache()
+    got = Q.rank_quantiles(d, [F.col("v")], [0.25, 0.5, 0.75], 100_000)
+    assert np.allclose(got[0], np.quantile(v, [0.25, 0.5, 0.75]), rtol=1e-12, atol=0)
+    assert max(asked) <= 10_000 and len(asked) <= 1 + 6       # one for the whole column, then one for each open window
