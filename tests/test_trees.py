@@ -170,3 +170,24 @@ def test_chains_keep_every_point():
     rounds = [("Level-wise Boosting", {"maxIter": n, "maxDepth": 4}) for n in (150, 250, 350)]
     assert [(p["maxIter"], len(m)) for _, p, m in MO.chains(rounds, 2)] == [(350, 3)]
     assert len(MO.chains(rounds, 3)) == 3                 # one-vs-rest models have no single chain
+
+
+def test_importance_explains_a_cell_once(frame, monkeypatch):
+    """Rows that no test tells apart are explained together, odd numbers included, with equal results."""
+    spark = frame.sparkSession
+    e = T.load(spark, LEARNERS["forest"]().fit(frame))
+    x, at = _x(frame), T.cuts(e)
+    x[:6, 0] = [np.nan, np.inf, -np.inf, at[0][0], np.nextafter(at[0][0], np.inf), at[0][-1] + 1]
+    for t in e.trees:
+        p = T.Paths(t, 1.0)
+        assert (p.masks(x) == p.masks(T.cells(x, at))).all()
+    seen = []
+    real = T._values
+    monkeypatch.setattr(T, "_values", lambda e, x, *a: seen.append(x.count()) or real(e, x, *a))
+    many = frame.unionByName(frame).unionByName(frame.withColumn("id", F.col("id") + 1000))
+    bg = frame.where("id BETWEEN 100 AND 120")
+    names = [str(i) for i in range(x.shape[1])]
+    got = {r.feature: r.importance for r in T.shapley_importance(e, many, bg, "id", names).collect()}
+    assert seen[0] <= frame.count()
+    want = T.shapley_values(e, frame, bg, "id").groupBy("feature").agg((F.sum(F.abs("phi")) / frame.count()).alias("s")).collect()
+    assert all(math.isclose(got[str(r.feature)], r.s, rel_tol=1e-9) for r in want) and len(want) > 2
