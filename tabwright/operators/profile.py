@@ -22,6 +22,8 @@ from ..functions.hashing import field_text
 from ..options import DEFAULT, Options
 from .stats import column_stats, type_family
 
+#: Types whose values fit 64 bits.
+SHORT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 CATALOG_SCHEMA = "table_name string, ordinal int, column_name string, family string"
 
 
@@ -46,11 +48,19 @@ def _canonical(df: DataFrame, name: str):
     return c.cast("string")
 
 
-def digest_columns(text) -> list:
-    """A 128-bit digest of a text as two longs (16 bytes where the text may be any length)."""
-    hexed = F.md5(text)
-    half = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
-    return [half(1).alias("h1"), half(17).alias("h2")]
+def value_digest(df: DataFrame, name: str) -> list:
+    """Two longs that tell a column's values apart (null: null) as Spark's grouping does.
+
+    A value of at most 64 bits has a 64-bit hash of its own (xxhash64 maps those one to
+    one); any other is known by 128 bits of three hashes of its canonical text."""
+    c, dt = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(dt, SHORT_TYPES):
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            c = c.cast("double") + F.lit(0.0)
+        return [F.when(c.isNotNull(), F.xxhash64(c)), F.lit(0).cast("long")]
+    text = _canonical(df, name)
+    other = F.shiftleft(F.hash(text).cast("long"), 32).bitwiseXOR(F.crc32(text.cast("binary")))
+    return [F.when(text.isNotNull(), F.xxhash64(text)), other]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -60,21 +70,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def null_stats(tables: dict[str, DataFrame]) -> DataFrame:
+def null_stats(tables: dict[str, DataFrame], constant: bool = True) -> DataFrame:
     """(table_name, column_name, n_rows, n_null, constant): one partial aggregate per table.
 
-    ``constant``: at most one distinct value (nulls aside), as minimum = maximum.
+    ``constant``: at most one distinct value (nulls aside), as minimum = maximum; left out if not wanted.
     No value is shuffled, only a row of counts per task."""
     parts = []
     for t, df in tables.items():
         aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
         for i, f in enumerate(df.schema.fields):
             c = F.col(f"`{f.name}`")
-            same = _canonical(df, f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
-            aggs += [F.count(c).alias(f"_c{i}"), F.coalesce(F.min(same) == F.max(same), F.lit(True)).alias(f"_k{i}")]
-            entries.append(F.struct(F.lit(f.name).alias("column_name"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null"), F.col(f"_k{i}").alias("constant")))
+            aggs.append(F.count(c).alias(f"_c{i}"))
+            entry = [F.lit(f.name).alias("column_name"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null")]
+            if constant:
+                same = _canonical(df, f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
+                aggs.append(F.coalesce(F.min(same) == F.max(same), F.lit(True)).alias(f"_k{i}"))
+                entry.append(F.col(f"_k{i}").alias("constant"))
+            entries.append(F.struct(*entry))
         parts.append(df.agg(*aggs).select(F.lit(t).alias("table_name"), F.col("_rows").alias("n_rows"), F.explode(F.array(*entries)).alias("e"))
-                     .select("table_name", "e.column_name", "n_rows", "e.n_null", "e.constant"))
+                     .select("table_name", "e.column_name", "n_rows", "e.n_null", *(["e.constant"] if constant else [])))
     return _union(parts)
 
 
@@ -82,7 +96,8 @@ def distinct_stats(tables: dict[str, DataFrame], columns: dict[str, list[str]] |
     """(table_name, column_name, n_distinct), exact up to 128-bit digests, of all or of the named columns.
 
     A value travels as (column number, 16 bytes), once per task and value; the
-    second aggregate counts."""
+    second aggregate counts.  Digests are taken before a row is unfolded, so that
+    no text is copied."""
     names, long = [], []
     for t, df in tables.items():
         wanted = df.columns if columns is None else columns.get(t, [])
@@ -90,10 +105,10 @@ def distinct_stats(tables: dict[str, DataFrame], columns: dict[str, list[str]] |
             continue
         entries = []
         for c in wanted:
-            entries.append(F.struct(F.lit(len(names)).alias("col"), _canonical(df, c).alias("v")))
+            h1, h2 = value_digest(df, c)
+            entries.append(F.struct(F.lit(len(names)).alias("col"), h1.alias("h1"), h2.alias("h2")))
             names.append((len(names), t, c))
-        x = df.select(F.explode(F.array(*entries)).alias("e")).where("e.v IS NOT NULL")
-        long.append(x.select(F.col("e.col").alias("col"), *digest_columns(F.col("e.v"))))
+        long.append(df.select(F.explode(F.array(*entries)).alias("e")).where("e.h1 IS NOT NULL").select("e.*"))
     spark = next(iter(tables.values())).sparkSession
     known = spark.createDataFrame(names, "col int, table_name string, column_name string")   # one row per column
     counts = _union(long).groupBy("col", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -115,7 +130,7 @@ def lake_stats(tables: dict[str, DataFrame], exact: bool = True, moments: bool =
 
 def stats_wide(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, n_rows, n_null, n_distinct)."""
-    return null_stats(tables).drop("constant").join(distinct_stats(tables), ["table_name", "column_name"])
+    return null_stats(tables, constant=False).join(distinct_stats(tables), ["table_name", "column_name"])
 
 
 # ---------------------------------------------------------------- B2, B1
