@@ -69,3 +69,13 @@ def test_sketches_sent_to_the_last_task_stay_small(spark, monkeypatch):
     got = Q.rank_quantiles(d, [F.col("v")], [0.25, 0.5, 0.75], 100_000)
     assert np.allclose(got[0], np.quantile(v, [0.25, 0.5, 0.75]), rtol=1e-12, atol=0)
     assert max(asked) <= 10_000 and len(asked) <= 1 + 6       # one for the whole column, then one for each open window
+
+
+def test_merge_of_many_tasks_sketches_is_bounded(spark, monkeypatch):
+    """What the merging task reads is the tasks' number times a sketch, whose size has a small bound; more rounds make up for it."""
+    asked, real = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: asked.append(a) or real(c, p, a))
+    d = spark.range(3_000_000, numPartitions=12).select(((F.col("id") * 7919) % 3_000_000).cast("double").alias("v"), (F.col("id") % 5).alias("few"))
+    got = Q.rank_quantiles(d, [F.col("v"), F.col("few")], [0.25, 0.5, 0.75], 100_000)
+    assert got == [[749_999.75, 1_499_999.5, 2_249_999.25], [1.0, 2.0, 3.0]]
+    assert max(asked) <= 2_000
