@@ -58,7 +58,8 @@ REACH = 0.17           # a leader is this near at most; other sets are their own
 STAR_WORTH = 20        # a round is worth another if one in so many of its pairs links
 FLUSH = 1_000_000      # postings a worker holds before it ships them
 REMEMBERED = 200_000
-SIGNATURE = 7          # log2 of the counters of a set's signature
+SIGNATURE = 10         # log2 of the bits of a set's signature
+TEXTS_AT_ONCE = 128    # split into words together: a worker's memory grows with them
 _B = 0x9E3779B97F4A7C15
 
 
@@ -117,14 +118,14 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """How many shingles fall into each of 2^SIGNATURE ranges of the hash (255: that many or more)."""
-    return np.minimum(np.bincount((s >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE), 255).astype(np.uint8).tobytes()
+    """Whether an odd number of shingles falls into each of 2^SIGNATURE ranges of the hash."""
+    return np.packbits(np.bincount((s >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE).astype(np.uint8) & 1).tobytes()
 
 
 def most_shared(x: np.ndarray, y: np.ndarray, nx, ny) -> np.ndarray:
-    """No two sets of these signatures and sizes share more: range by range, the lesser count."""
-    both = np.minimum(x, y).astype(np.int64)
-    return np.minimum(np.where((both == 255).any(axis=-1), np.int64(1) << 40, both.sum(axis=-1)), np.minimum(nx, ny))
+    """No two sets of these signatures and sizes share more: a range odd in one only holds a shingle of one only."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return np.minimum((nx + ny - apart) // 2, np.minimum(nx, ny))
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -155,8 +156,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
         for b in batches:
             any_row = True
             texts, sids, sizes = b.column(1).to_pylist(), [], []
-            for lo in range(0, len(texts), 1024):
-                sets = shingle_sets(texts[lo:lo + 1024])
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+                sets = shingle_sets(texts[lo:lo + TEXTS_AT_ONCE])
                 sids += [set_id(s) for s in sets]
                 sizes += [len(s) for s in sets]
                 at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.uint32), return_counts=True)
@@ -226,12 +227,12 @@ def postings(docs: DataFrame, levels, part_bits: int) -> DataFrame:
         held, size = [], 0
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo in range(0, len(texts), 512):
-                for s in shingle_sets(texts[lo:lo + 512]):
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+                for s in shingle_sets(texts[lo:lo + TEXTS_AT_ONCE]):
                     if not len(s) or (i := set_id(s)) in seen:
                         continue
                     seen.add(i)
-                    held.append((ordered(s, table)[:probe_length(len(s))], i, len(s)))
+                    held.append((ordered(s, table)[:probe_length(len(s))].copy(), i, len(s)))     # a view would hold the whole set
                     size += len(held[-1][0])
                     if size >= FLUSH:
                         yield ship(held)
@@ -479,11 +480,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist())
-            sid = np.array([set_id(s) for s in sets], dtype=np.int64)
-            same = np.flatnonzero(sid == b.column(0).to_numpy())   # rows of one key may differ
-            yield _table("sid hashes sig n", [sid[same], pa.array([sets[i].tobytes() for i in same], pa.binary()),
-                                              pa.array([signature(sets[i]) for i in same], pa.binary()), np.array([len(sets[i]) for i in same], np.int64)])
+            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
+                some = b.slice(lo, TEXTS_AT_ONCE)
+                sets = shingle_sets(some.column(1).to_pylist())
+                sid = np.array([set_id(s) for s in sets], dtype=np.int64)
+                same = np.flatnonzero(sid == some.column(0).to_numpy())   # rows of one key may differ
+                yield _table("sid hashes sig n", [sid[same], pa.array([sets[i].tobytes() for i in same], pa.binary()),
+                                                  pa.array([signature(sets[i]) for i in same], pa.binary()), np.array([len(sets[i]) for i in same], np.int64)])
 
     texts = join_small(d, named, F.col("key") == F.col("_key")).select("sid", "text")
     sets = materialize(texts.mapInArrow(pack, "sid long, hashes binary, sig binary, n long").dropDuplicates(["sid"]), "jac-sets")

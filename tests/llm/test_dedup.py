@@ -69,6 +69,14 @@ def test_jaccard_join_of_drifting_copies(spark):
     check_join(spark, rows)
 
 
+def test_jaccard_join_of_batches_longer_than_what_a_worker_splits_at_once(spark):
+    """Each of many texts in one batch has one near copy: all links are found, whatever a worker splits together."""
+    n = 3 * jaccard_join.TEXTS_AT_ONCE
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(60 + k)), None, None) for i in range(n) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(spark, rows).coalesce(1)).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * n)}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
     got = jaccard_join.near_duplicates(docs(spark, [(1, None, None, None), (2, "", None, None)])).collect()
@@ -86,6 +94,18 @@ def test_signatures_never_hide_a_shared_shingle():
             assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
 
 
+def test_signatures_tell_unlike_texts_apart():
+    """Sets of a page's size that share a tenth are known to be unlike, even if their leaders' members stray by ``REACH`` each."""
+    rng = np.random.default_rng(4)
+    for n in (40, 100, 200, 300):
+        a, b = (rng.integers(0, 2 ** 64, n, dtype=np.uint64) for _ in "ab")
+        b[:n // 10] = a[:n // 10]
+        x, y = (np.frombuffer(jaccard_join.signature(np.unique(s)), np.uint8) for s in (a, b))
+        assert len(x) == 128
+        shared = jaccard_join.most_shared(x, y, n, n)
+        assert 1 - shared / (2 * n - shared) - 2 * jaccard_join.REACH > 0.25
+
+
 def test_overlap_bounds():
     for a in range(1, 60):
         for b in range(a, 60):
