@@ -77,6 +77,65 @@ def test_jaccard_join_of_batches_longer_than_what_a_worker_splits_at_once(spark)
     assert got == {i: i - i % 2 for i in range(2 * n)}
 
 
+def test_short_lists_name_their_fitting_pairs():
+    """Lists of few entries send no rows, but each pair that may be linked; longer lists send their rows."""
+    rnd = np.random.default_rng(5)
+    k = 400
+    h, sid = rnd.integers(0, 90, k).astype(np.uint32), rnd.integers(-50, 50, k)
+    n, pos = (40 + sid % 25).astype(np.uint32), rnd.integers(0, 12, k).astype(np.uint16)
+    h[:60], sid[:60], n[:60] = 1000, np.arange(60), 50                     # one long list
+    lists, ids, _, _, _, _, a, b = jaccard_join.lists_of_part(h, sid, n, pos)
+    assert set(lists.tolist()) == {1000} and sorted(ids.tolist()) == list(range(60))
+    want = set()
+    for x in set(h[60:].tolist()):
+        least = {}                                                         # a set's first place in this list
+        for i in np.flatnonzero(h == x):
+            least[int(sid[i])] = min(least.get(int(sid[i]), (99, 0)), (int(pos[i]), int(n[i])))
+        for s, (ps, ns) in least.items():
+            for t, (pt, nt) in least.items():
+                if s != t and ns <= nt and jaccard_join._fits(ns, ps, nt, pt):
+                    want.add((min(s, t), max(s, t)))
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) > 20
+
+
+def test_sets_that_many_others_meet_are_compared_in_deals(spark):
+    """A set travels once to every PARTNERS of the sets that it is compared with."""
+    k = 3 * jaccard_join.PARTNERS
+    sets = [np.arange(i, 60 + i // 4, dtype=np.uint64) for i in range(k)]
+    table = materialize(spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "sid long, hashes binary"), "test-sets")
+    pairs = [(0, i) for i in range(1, k)] + [(i, i + 1) for i in range(5, 40)]
+    got = jaccard_join.verify(materialize(spark.createDataFrame(pairs, "a long, b long"), "test-pairs"), table).collect()
+    want = [(a, b, len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])) for a, b in pairs]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_sets_travel_only_where_rows_repeat(spark, monkeypatch, copies):
+    """Rows that repeat id and text have one set together; other sets are written where they were made."""
+    plans, write = {}, jaccard_join.materialize
+
+    def noted(df, tag, *more):
+        plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    text = [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    check_join(spark, [(1, text[0], None, None)] * copies + [(2, text[0] + " more", None, None), (3, text[1], None, None), (4, text[1], None, None),
+                       (5, text[1] + " end", None, None), (6, text[2], None, None)])
+    assert ("Exchange hashpartitioning(sid" in plans["jac-sets"]) == (copies > 1)
+
+
+def test_jaccard_join_of_crowded_and_short_lists(spark):
+    """Many sets behind the same rare words, few of them linked, beside pairs of near copies that meet in short lists only."""
+    rnd = random.Random(3)
+    head = [f"r{i}" for i in range(25)]
+    rows = [(i, " ".join(head + [f"x{rnd.randrange(14)}" for _ in range(40)]), None, None) for i in range(70)]
+    for i in range(60):
+        ws = [f"p{i}w{j}" for j in range(50 + i % 9)]
+        rows += [(100 + 3 * i + k, " ".join(ws[k * (i % 5):]), None, None) for k in range(3)]
+    check_join(spark, rows)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
     got = jaccard_join.near_duplicates(docs(spark, [(1, None, None, None), (2, "", None, None)])).collect()
