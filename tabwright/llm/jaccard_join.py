@@ -64,7 +64,7 @@ REACH = 0.17           # a leader is this near at most; other sets are their own
 STAR_WORTH = 20        # a round is worth another if one in so many of its pairs links
 PARTNERS = 64          # sets that meet one copy of another to be compared
 FLUSH = 400_000        # postings a worker holds before it ships them
-REMEMBERED = 200_000
+REMEMBERED = 20_000    # words a worker keeps: more save no time and stay in workers that are used again
 SIGNATURE = 10         # log2 of the bits of a set's signature
 TEXTS_AT_ONCE = 128    # split into words together: a worker's memory grows with them
 _B = 0x9E3779B97F4A7C15
