@@ -27,7 +27,7 @@ def save_model(preprocessor_model: PipelineModel, estimator_model, path: str, la
     Its column ``predicted`` has the class name, or the number for a regression (no ``labels``)."""
     named = (IndexToString(inputCol="prediction", outputCol="predicted", labels=labels) if labels
              else SQLTransformer(statement="SELECT *, prediction AS predicted FROM __THIS__"))
-    model = PipelineModel(stages=[*preprocessor_model.stages, estimator_model, named])
+    model = PipelineModel(stages=[*preprocessor_model.stages, getattr(estimator_model, "spark_model", estimator_model), named])
     model.write().overwrite().save(path)
     return model
 
