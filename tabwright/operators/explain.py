@@ -18,9 +18,11 @@ Every method is "make copies of rows, transform once, aggregate":
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,10 @@ from ..options import DEFAULT, Options
 from .stats import column_quantiles
 
 
+#: Numbers of the coalitions looked at together.
+COALITIONS = 4 << 20
+
+
 # ------------------------------------------------------------------ I1 linear
 def shap_linear(df: DataFrame, features_col: str, coefficients: list[float], background_mean: list[float],
                 names: list[str]) -> DataFrame:
@@ -55,13 +61,17 @@ def vector_mean(df: DataFrame, features_col: str, size: int) -> list[float]:
 # ------------------------------------------------------------------ I1 sampled
 def shap_sampled(sample: DataFrame, background: DataFrame, key: str, features_col: str, size: int,
                  predict_vec: Callable[[DataFrame], DataFrame], names: list[str], permutations: int = 8,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, predict_rows: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Sampled permutation Shapley values -> (feature, importance = mean |phi|).
 
     ``predict_vec`` maps a frame with a ``features`` vector column to one with
     a double ``_out`` column (probability of the positive class or the
     regression value).  The background is a bounded sample, indexed 0..B-1.
+    ``predict_rows`` gives the same of a matrix of rows; with it coalitions are
+    made and scored as matrices where the row is, and only its values travel.
     """
+    if predict_rows:
+        return _mean_phi(_phi_in_place(sample, background, key, features_col, size, predict_rows, permutations, seed), names)
     bg = background.select(vector_to_array(features_col).alias("b"))
     bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(F.xxhash64("b"))) - 1)   # bounded background only
     nb = bg.count()
@@ -85,7 +95,44 @@ def shap_sampled(sample: DataFrame, background: DataFrame, key: str, features_co
     w = Window.partitionBy(key, "m").orderBy("k")
     d = out.withColumn("diff", F.col("_out") - F.lag("_out").over(w)).where(F.col("k") > 0)
     d = d.select(key, "m", F.element_at("order", F.col("k")).alias("j"), "diff")
-    phi = d.groupBy(key, "j").agg(F.avg("diff").alias("phi"))
+    return _mean_phi(d.groupBy(key, "j").agg(F.avg("diff").alias("phi")), names)
+
+
+def _phi_in_place(sample: DataFrame, background: DataFrame, key: str, features_col: str, size: int, predict_rows, permutations: int, seed: int) -> DataFrame:
+    """(key, j, phi): the background row and order of every (row, permutation) as in ``shap_sampled``."""
+    b = vector_to_array(features_col)
+    bg = np.array([r[0] for r in background.select(b.alias("b")).orderBy(F.xxhash64("b")).collect()], float).reshape(-1, size)
+    text = F.col(key).cast("string")
+
+    def order(m):
+        h = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", text, F.lit(str(m)), j.cast("string"))), 1, 8), 16, 10).cast("long")
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), h)
+
+    row = sample.select(F.col(key).alias("key"), b.alias("x"),
+                        F.array(*[F.pmod(hash_unit(F.concat_ws(":", text, F.lit(str(m))), seed), F.lit(len(bg))) for m in range(permutations)]).cast("array<long>").alias("bi"),
+                        F.flatten(F.array(*[order(m) for m in range(permutations)])).alias("h"))
+    step = max(1, COALITIONS // (permutations * (size + 1) * size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                some = whole.slice(lo, step)
+                n = some.num_rows
+                x, bi, h = (np.array(some.column(i).flatten().to_numpy(zero_copy_only=False)).reshape(n, -1) for i in (1, 2, 3))
+                orders = np.argsort(h.reshape(n, permutations, size), axis=2, kind="stable")
+                place = np.argsort(orders, axis=2, kind="stable")
+                taken = place[:, :, None, :] < np.arange(size + 1)[:, None]              # the first k features are the row's
+                mixed = np.where(taken, x[:, None, None, :], bg[bi][:, :, None, :])
+                out = predict_rows(mixed.reshape(-1, size)).reshape(n, permutations, size + 1)
+                phi = np.take_along_axis(np.diff(out, axis=2), place, axis=2).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(phi), pa.list_(pa.float64()))], names=["key", "phi"])
+
+    phi = row.mapInArrow(run, f"key {dict(row.dtypes)['key']}, phi array<double>").select("key", F.posexplode("phi").alias("j", "phi"))
+    # copies of a key share one walk through the coalitions, so each adds its part of it
+    return phi.groupBy("key", "j").agg((F.avg("phi") / F.count(F.lit(1))).alias("phi"))
+
+
+def _mean_phi(phi: DataFrame, names: list[str]) -> DataFrame:
     nm = F.array(*[F.lit(n) for n in names])
     return phi.groupBy("j").agg(F.avg(F.abs("phi")).alias("importance")) \
         .select(F.element_at(nm, F.col("j") + 1).alias("feature"), "importance")
@@ -99,7 +146,6 @@ def native_importance(model, names: list[str]) -> list[tuple[str, float]]:
         return [(n, float(x)) for n, x in zip(names, v)]
     if hasattr(model, "coefficientMatrix"):
         m = model.coefficientMatrix.toArray()
-        import numpy as np
         return [(n, float(x)) for n, x in zip(names, np.abs(m).mean(axis=0))]
     if hasattr(model, "coefficients"):
         return [(n, abs(float(x))) for n, x in zip(names, model.coefficients.toArray())]

@@ -71,9 +71,11 @@ def q_shap_sampled(spark, sf_dir):
     ts.release()
     rows = pre.transform(s)
     bg = sample_topn(rows, "doc_id", DEFAULT.background_rows)
+    two = model.numClasses == 2
+    weights, shift = (model.coefficients.toArray(), float(model.intercept)) if two else (None, None)
     return X.shap_sampled(rows, bg, "doc_id", "features", len(pre.feature_names),
                           lambda d: model.transform(d).withColumn("_out", vector_to_array("probability")[1]),
-                          pre.feature_names, seed=SEED)
+                          pre.feature_names, seed=SEED, predict_rows=(lambda x: 1 / (1 + np.exp(-(x @ weights + shift)))) if two else None)
 
 
 @query("shap_tree")
